@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeprint.llm import bpe
+from placeprint.llm import bpe, grace_dedup, langid, simhash
 
 #: The vocabulary of op1: a parameter of the operator, never a file of this repository.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,8 +25,33 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
-_QUERIES = {"op1_bpe": op1_bpe}
-_SQL: dict[str, str] = {}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash of 3-word shingles and the least document that links of at most 2 bits reach."""
+    out = simhash.near_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the documents outside fold 2 of 4."""
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit(langid.training_rows(docs))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out("doc_id", 4).alias("held_out"), "language.lang_pred", "language.score")
+
+
+def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal texts and whether it stays."""
+    return grace_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
+
+
+_OP7_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       coalesce(row_number() OVER (g ORDER BY doc_id DESC) = 1, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+_QUERIES = {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op5_langid": op5_langid, "op7_grace_dedup": op7_grace_dedup}
+_SQL: dict[str, str] = {"op7_grace_dedup": _OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
