@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeprint.llm import bpe, grace_dedup, langid, mixing, simhash, token_scan
+from placeprint.llm import bpe, grace_dedup, langid, lm, mixing, simhash, token_scan
 
 #: The vocabulary of op1: a parameter of the operator, never a file of this repository.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -50,6 +50,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out("doc_id", 4).alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learned from the documents outside fold 2 of 7; weights from fold 3."""
+    return lm.score(_read(spark, sf_dir, "documents"), langid.held_out("doc_id", 7), langid.held_out("doc_id", 7, 3))
+
+
 def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of equal texts and whether it stays."""
     return grace_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
@@ -111,6 +116,7 @@ _QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_token_scan": op4_token_scan,
     "op5_langid": op5_langid,
+    "op6_lm": op6_lm,
     "op7_grace_dedup": op7_grace_dedup,
 }
 _SQL: dict[str, str] = {"op2_mixing": _OP2_SQL, "op4_token_scan": _OP4_SQL, "op7_grace_dedup": _OP7_SQL}
