@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeprint.llm import bpe, grace_dedup, langid, lm, mixing, simhash, token_scan
+from placeprint.llm import bpe, grace_dedup, langid, lm, mixing, sanitise, simhash, token_scan, url_filter
 
 #: The vocabulary of op1: a parameter of the operator, never a file of this repository.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,6 +60,18 @@ def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    return url_filter.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "llr")
+
+
+def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data and disclosing terms."""
+    out = sanitise.find_private(_read(spark, sf_dir, "documents"))
+    counts = [F.col("counts")[i].alias(f"n_{kind}") for i, kind in enumerate(sanitise.KINDS)]
+    return out.select("doc_id", *counts, "base_sha256", sanitise.span_text(F.col("spans")).alias("spans"))
+
+
 _OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        coalesce(row_number() OVER (g ORDER BY doc_id DESC) = 1, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -118,6 +130,8 @@ _QUERIES = {
     "op5_langid": op5_langid,
     "op6_lm": op6_lm,
     "op7_grace_dedup": op7_grace_dedup,
+    "op8_url_filter": op8_url_filter,
+    "op10_sanitise": op10_sanitise,
 }
 _SQL: dict[str, str] = {"op2_mixing": _OP2_SQL, "op4_token_scan": _OP4_SQL, "op7_grace_dedup": _OP7_SQL}
 
