@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeprint.llm import bpe, grace_dedup, langid, lm, mixing, sanitise, simhash, token_scan, url_filter
+from placeprint.llm import bpe, grace_dedup, langid, lattice, lm, mixing, sanitise, simhash, token_scan, url_filter
 
 #: The vocabulary of op1: a parameter of the operator, never a file of this repository.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -65,6 +65,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "llr")
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links of cosine 0.93 or more within its label, and its component."""
+    return lattice.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data and disclosing terms."""
     out = sanitise.find_private(_read(spark, sf_dir, "documents"))
@@ -131,6 +136,7 @@ _QUERIES = {
     "op6_lm": op6_lm,
     "op7_grace_dedup": op7_grace_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_lattice": op9_lattice,
     "op10_sanitise": op10_sanitise,
 }
 _SQL: dict[str, str] = {"op2_mixing": _OP2_SQL, "op4_token_scan": _OP4_SQL, "op7_grace_dedup": _OP7_SQL}
