@@ -19,8 +19,9 @@ from placeprint.llm.common import written
 
 #: Bytes of distinct content in one table.
 TABLE_BYTES = 32 << 20
-#: Ways in which a bucket that doesn't fit is partitioned again.
+#: Ways in which a bucket that doesn't fit is partitioned again, and buckets split in one round at most.
 FANOUT = 16
+MOST_SPLIT = 1000
 
 
 class ContentTable:
@@ -129,24 +130,29 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _buckets(folded: DataFrame, table_bytes: int, depth: int = 12) -> tuple[DataFrame, int]:
-    """Folded rows with their bucket, and the number of buckets.
+def _bucket(sizes: DataFrame, table_bytes: int, h: str = "h", depth: int = 12) -> tuple[Column, int]:
+    """The bucket of a row by its hash column, and the number of buckets; sizes has that hash and bytes of all rows.
 
     Buckets by hash first; those whose content exceeds the table are partitioned again by other digits of the hash,
-    until all fit or hold one hash only (whose content then is in the table once, however many rows bring it).
+    until all fit or hold one hash only (whose content then is in the table once, however many rows bring it). Where
+    more than MOST_SPLIT buckets are too large, twice as many buckets are tried from the start.
     """
-    total = folded.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     n = max(1, -(-total // (table_bytes // 2)))
-    out = folded.withColumn("bucket", F.pmod(F.col("h"), F.lit(n)))
-    for level in range(depth):
-        over = out.groupBy("bucket").agg(F.sum("bytes").alias("in_bucket"), F.min("h").alias("lo"), F.max("h").alias("hi")).where((F.col("in_bucket") > table_bytes) & (F.col("lo") != F.col("hi")))
-        many = over.count()
-        if not many:
-            break
-        n += many * FANOUT
-        digit = F.pmod(F.xxhash64(F.col("h"), F.lit(level)), F.lit(FANOUT))
-        out = out.join(over.select("bucket", F.lit(True).alias("split")), "bucket", "left").withColumn("bucket", F.when(F.col("split"), F.xxhash64("bucket", digit)).otherwise(F.col("bucket"))).drop("split")
-    return out, n
+    while True:
+        at, made = F.pmod(F.col(h), F.lit(n)), n
+        for level in range(depth):
+            over = sizes.groupBy(at.alias("bucket")).agg(F.sum("bytes").alias("in_bucket"), F.min(h).alias("lo"), F.max(h).alias("hi"))
+            over = [r[0] for r in over.where((F.col("in_bucket") > table_bytes) & (F.col("lo") != F.col("hi"))).select("bucket").limit(MOST_SPLIT + 1).collect()]
+            if not over:
+                return at, made
+            if len(over) > MOST_SPLIT:
+                break
+            made += len(over) * FANOUT
+            at = F.when(at.isin(over), F.xxhash64(at, F.pmod(F.xxhash64(F.col(h), F.lit(level)), F.lit(FANOUT)))).otherwise(at)
+        else:
+            return at, made
+        n *= 2
 
 
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str | Column = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -159,7 +165,80 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str | Column = "tex
     content = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
     rows = df.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(content).alias("h"), content.cast("binary").alias("content"))
     folded = written(rows.mapInArrow(_fold(table_bytes), "rep long, h long, bytes long, n long, top long, sha string, ids array<long>, content binary"), "folded")
-    at, n = _buckets(folded.select("rep", "h", "bytes", "n", "top", "content"), table_bytes)
-    met = at.select("bucket", "rep", "h", "n", "top", "content").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "rep long, keep_id long, group_size long, winner long")
+    bucket, n = _bucket(folded.select("h", "bytes"), table_bytes)
+    met = folded.select(bucket.alias("bucket"), "rep", "h", "n", "top", "content").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "rep long, keep_id long, group_size long, winner long")
     out = folded.select("rep", "ids", "sha").join(met, "rep").select("rep", "winner", "keep_id", "group_size", "sha", F.posexplode("ids").alias("pos", "doc_id"))
     return out.select("doc_id", "keep_id", "group_size", ((F.col("rep") == F.col("winner")) & (F.col("pos") == 0)).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def _better(a, b) -> bool:
+    """Whether id a outranks id b: the larger one, any before null."""
+    return a is not None and (b is None or a > b)
+
+
+def _rows_fold(doc_id: str, text: str, window_bytes: int):
+    """Scan side for whole rows: of each distinct text of a window of rows, the row of the largest id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > window_bytes:
+                yield from _best_rows(pa.Table.from_batches(held), doc_id, text, None)
+                held, size = [], 0
+        if held:
+            yield from _best_rows(pa.Table.from_batches(held), doc_id, text, None)
+
+    return run
+
+
+def _best_rows(rows: pa.Table, doc_id: str, text: str, bucket: str | None) -> Iterator[pa.RecordBatch]:
+    """Of each distinct text, within each bucket if there are any, the row of the largest id."""
+    tables: dict = {}
+    ids, hashes = rows[doc_id].to_pylist(), rows["__h"].to_pylist()
+    buckets = rows[bucket].to_pylist() if bucket else [None] * len(ids)
+    for i, (doc, h, of, content) in enumerate(zip(ids, hashes, buckets, rows[text])):
+        table, best = tables.setdefault(of, (ContentTable(), []))
+        e, new = table.put(h, content.as_py() or "")
+        if new:
+            best.append(i)
+        elif _better(doc, ids[best[e]]):
+            best[e] = i
+    at = np.sort(np.array([i for _, best in tables.values() for i in best], dtype=np.int64))
+    yield from rows.take(pa.array(at)).combine_chunks().to_batches(max_chunksize=4096)
+
+
+def _rows_meet(doc_id: str, text: str):
+    """Bucket side for whole rows, sorted by bucket: one bucket at a time, of each text the row of the largest id."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            of = b.column("__bucket").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.nonzero(of[1:] != of[:-1])[0] + 1).tolist(), len(of)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and held[-1].column("__bucket")[0].as_py() != of[lo]:
+                    yield from _best_rows(pa.Table.from_batches(held), doc_id, text, None)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+                if len(held) > 64:  # a bucket of many copies: its table holds each text once
+                    held = list(_best_rows(pa.Table.from_batches(held), doc_id, text, None))
+        if held:
+            yield from _best_rows(pa.Table.from_batches(held), doc_id, text, None)
+
+    return run
+
+
+def drop_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """The rows of df that exact_dedup() would keep, whole: of equal texts the one of the largest id, once.
+
+    Texts cross the network once, after copies that meet in a scan task are folded. A null text counts as empty (the row
+    that stays keeps its own null); an empty table gives an empty one; all columns stay as they are.
+    """
+    rows = df.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    bucket, n = _bucket(rows.select("__h", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes")), table_bytes, "__h")
+    folded = rows.mapInArrow(_rows_fold(doc_id, text, table_bytes), rows.schema)
+    folded = folded.withColumn("__bucket", bucket)
+    met = folded.repartition(n, "__bucket").sortWithinPartitions("__bucket").mapInArrow(_rows_meet(doc_id, text), folded.schema)
+    return met.drop("__h", "__bucket")

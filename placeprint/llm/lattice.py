@@ -168,6 +168,8 @@ def _compare(blocks: int, settings: Settings):
             base = own[rows["home"][own]]
             if not len(base):
                 continue
+            rank = np.zeros(len(rows["home"]), dtype=np.int64)
+            rank[own] = np.arange(len(own))
             x = np.frombuffer(b"".join(rows["vector"][own]), dtype=np.float64).reshape(len(own), -1)
             for i in range(0, len(base), 512):
                 near = x[i : i + 512][: len(base) - i] @ x[i:].T  # base comes first in own, so later columns cover each pair once
@@ -176,15 +178,10 @@ def _compare(blocks: int, settings: Settings):
                 ok = (l != r) & (rows["row"][l] != rows["row"][r]) & (rows["label"][l] == rows["label"][r]) & (rows["tab"][l] == rows["tab"][r]) & (rows["code"][l] == rows["code"][r])
                 ok &= (rows["a"][l] == rows["b"][l]) | (rows["chunk"][l] != rows["chunk"][r])
                 both = rows["home"][l] & rows["home"][r]
-                ok &= ~both | (own_rank(own)[l] < own_rank(own)[r])
+                ok &= ~both | (rank[l] < rank[r])
                 found.append((l[ok], r[ok]))
         return found
 
-    def own_rank(own: np.ndarray) -> np.ndarray:
-        rank = np.zeros(int(own.max()) + 1, dtype=np.int64)
-        rank[own] = np.arange(len(own))
-        return rank
-
     def here(rows: dict[str, np.ndarray], l: np.ndarray, r: np.ndarray) -> np.ndarray:
         """Whether this bucket is where the pair counts."""
         used, at = np.unique(np.concatenate([l, r]), return_inverse=True)

@@ -325,3 +325,19 @@ def near_dedup(df: DataFrame, width: int = 3, tau: int = 2, seed: int = 42, doc_
 def fingerprint_hex(fp):
     """A signed long column as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+#: Dropped ids are broadcast up to so many (about 1 MB); beyond, they meet the documents in a shuffle.
+BROADCAST_IDS = 100_000
+
+
+def drop_near(df: DataFrame, width: int = 3, tau: int = 2, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df of which near_dedup() says that theirs is the smallest id of its component; all columns stay.
+
+    Rows without an id stay. Rows that share an id are one document here: they stay or go together. An empty table gives
+    an empty one.
+    """
+    found = near_dedup(df, width, tau, seed, doc_id, text)
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(gone) if few else gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
