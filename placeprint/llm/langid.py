@@ -71,66 +71,103 @@ def _counts(orders: tuple[int, ...]):
     return run
 
 
-class Model:
-    """Log frequencies by language of words (order 0) and character n-grams; pickled into a broadcast."""
+def gram_keys(codes: np.ndarray, order: int) -> np.ndarray:
+    """Keys of all windows of ``order`` code points, row by row."""
+    n = codes.shape[1] - order + 1
+    keys = np.full((len(codes), n), np.uint64(order))
+    for i in range(order):
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + codes[:, i : i + n]
+        keys ^= keys >> np.uint64(31)
+    return keys
+
+
+def _codes(words_: list[str], order: int) -> np.ndarray:
+    """Code points of words of one length, between their ends where the order is above one."""
+    if order > 1:
+        words_ = [f"<{w}>" for w in words_]
+    return np.frombuffer("".join(words_).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words_), -1).astype(np.uint64)
 
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, int]], logs: dict[int, np.ndarray], orders: tuple[int, ...]):
-        self.langs, self.tables, self.logs, self.orders = langs, tables, logs, orders
 
-    def __getstate__(self):
-        return self.langs, self.tables, self.logs, self.orders
+class Model:
+    """Log frequencies by language: of words by name, of n-grams by sorted key; pickled into a broadcast."""
+
+    def __init__(self, langs: list[str], known: dict[str, int], word_logs: np.ndarray, grams_: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.langs, self.known, self.word_logs, self.grams = langs, known, word_logs, grams_
+        self._forget()
 
-    def __setstate__(self, state):
-        self.__init__(*state)
+    def __reduce__(self):
+        return Model, (self.langs, self.known, self.word_logs, self.grams)
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((4096, len(self.langs)))
+        self.rows = np.zeros((4096, max(1, len(self.langs))))
         self.used = 1  # row 0 says nothing: not a letter
 
-    def vector(self, word: str) -> np.ndarray:
-        """Log frequency of the word, or of what it falls back to, by language."""
-        if (i := self.tables[0].get(word)) is not None:
-            return self.logs[0][i]
-        for n in self.orders:
-            table = self.tables[n]
-            known = [i for g in grams(word, n) if (i := table.get(g)) is not None]
-            if known:
-                return self.logs[n][known].mean(axis=0)
-        return np.zeros(len(self.langs))
-
-    def _row(self, word: str) -> int:
-        if not word.isalpha():
-            word = "".join(c for c in word if c.isalpha())
-        if not word:
-            return 0
-        if self.used == len(self.rows):
+    def vectors(self, unknown: list[str]) -> np.ndarray:
+        """Log frequency by language of each of the words: of the word itself, else the mean of its known n-grams of the
+        longest order of which it has any; zeros if it has none."""
+        out = np.zeros((len(unknown), len(self.langs)))
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(unknown):
+            if (k := self.known.get(w)) is not None:
+                out[i] = self.word_logs[k]
+            else:
+                by_length.setdefault(len(w), []).append(i)
+        for length, at in by_length.items():
+            left = np.array(at)
+            for order, (keys, logs) in self.grams.items():
+                if not len(left) or not len(keys) or length + 2 * (order > 1) < order:
+                    continue
+                wanted = gram_keys(_codes([unknown[i] for i in left], order), order)
+                found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = keys[found] == wanted
+                n = hit.sum(axis=1)
+                some = n > 0
+                total = np.stack([(logs[:, k][found[some]] * hit[some]).sum(axis=1) for k in range(len(self.langs))], axis=1)
+                out[left[some]] = total / n[some, None]
+                left = left[~some]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        letters = [w for w in new if w.isalpha()]
+        for w in new:
+            if not w.isalpha():  # a letter-like number among the letters, or alone
+                rest = "".join(c for c in w if c.isalpha())
+                self.at[w] = 0
+                if rest:
+                    letters.append(rest)
+        while self.used + len(letters) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used] = self.vector(word)
-        self.used += 1
-        return self.used - 1
+        self.rows[self.used : self.used + len(letters)] = self.vectors(letters)
+        self.at.update(zip(letters, range(self.used, self.used + len(letters))))
+        self.used += len(letters)
+        for w in new:
+            if not w.isalpha() and (rest := "".join(c for c in w if c.isalpha())):
+                self.at[w] = self.at[rest]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; und and 0 where there is no letter or nothing was learned."""
-        if not hasattr(self, "at") or len(self.at) > CACHE_WORDS:
-            self._forget()
+        if not self.langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
         langs, scores = [], []
-        for text in texts:
-            seen = words(text or "")
-            at = self.at
-            for w in set(seen) - at.keys():
-                at[w] = self._row(w)
-            rows = np.fromiter(map(at.__getitem__, seen), dtype=np.int64, count=len(seen))
-            n = int(np.count_nonzero(rows))
-            if not n or not self.langs:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            total = self.rows[rows].sum(axis=0) / np.sqrt(n)  # tempered: words of a text aren't independent
-            odds = np.exp(total - total.max())
-            best = int(odds.argmax())
-            langs.append(self.langs[best])
-            scores.append(float(odds[best] / odds.sum()))
+        for i in range(0, len(texts), 512):
+            seen = [words(t or "") for t in texts[i : i + 512]]
+            if len(self.at) > CACHE_WORDS:
+                self._forget()
+            self._learn(sorted(set().union(*seen) - self.at.keys()))
+            get = self.at.__getitem__
+            for some in seen:
+                at = np.fromiter(map(get, some), dtype=np.int64, count=len(some))
+                n = int(np.count_nonzero(at))
+                if not n:
+                    langs.append("und")
+                    scores.append(0.0)
+                    continue
+                total = self.rows[at].sum(axis=0) / np.sqrt(n)  # tempered: words of a text aren't independent
+                odds = np.exp(total - total.max())
+                best = int(odds.argmax())
+                langs.append(self.langs[best])
+                scores.append(float(odds[best] / odds.sum()))
         return langs, scores
 
 
@@ -141,28 +178,34 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
     if len(seen) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs = sorted(r["lang"] for r in seen)
-    tables = {n: {} for n in (0, *settings.orders)}
-    logs = {n: np.zeros((0, len(langs))) for n in tables}
     if not langs:
-        return Model(langs, tables, logs, settings.orders)
+        return Model([], {}, np.zeros((0, 0)), {})
     share = F.create_map(*[x for r in seen for x in (F.lit(r["lang"]), F.lit(min(1.0, settings.rows_per_lang / r["count"])))])
     drawn = train.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language id")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     counts = drawn.select("lang", "text").mapInArrow(_counts(settings.orders), "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     counts = written(counts, "grams")
     by_gram = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).where(F.col("total") >= settings.min_count)
-    sums = {n: np.zeros(len(langs)) for n in tables}
+    orders = (0, *settings.orders)
+    sums = {n: np.zeros(len(langs)) for n in orders}
     for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("c")).collect():
         sums[r["n"]][langs.index(r["lang"])] = r["c"]
-    for n in tables:
+    known, word_logs, by_key = {}, None, {}
+    place = {lang: i for i, lang in enumerate(langs)}
+    for n in orders:
         top = by_gram.where(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(settings.max_grams).select("gram", "by").toArrow()
-        c = np.full((top.num_rows, len(langs)), settings.smoothing)
-        for i, (gram, by) in enumerate(zip(top.column(0).to_pylist(), top.column(1).to_pylist())):
-            tables[n][gram] = i
+        names, c = top.column(0).to_pylist(), np.full((top.num_rows, len(langs)), settings.smoothing)
+        for i, by in enumerate(top.column(1).to_pylist()):
             for lang, k in by:
-                c[i, langs.index(lang)] += k
-        logs[n] = np.log(c) - np.log(sums[n] + settings.smoothing * (top.num_rows + 1))
+                c[i, place[lang]] += k
+        logs = np.log(c) - np.log(sums[n] + settings.smoothing * (top.num_rows + 1))
+        if n:
+            keys = gram_keys(np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, n).astype(np.uint64), n).ravel()
+            order = np.argsort(keys)
+            by_key[n] = keys[order], logs[order]
+        else:
+            known, word_logs = {g: i for i, g in enumerate(names)}, logs
     drop_written(counts)
-    return Model(langs, tables, logs, settings.orders)
+    return Model(langs, known, word_logs, by_key)
 
 
 def predictor(spark, model: Model):
