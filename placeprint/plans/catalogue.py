@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from placeprint.plans import files, learning, scoring, sets, signals, streams  # noqa: F401  they register
+from placeprint.plans.registry import ALL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-#: Name -> (query, SQL or None).
-_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Decorator that registers a query and its SQL twin."""
-
-    def put(query):
-        if name in _ALL:
-            raise ValueError(f"{name} is registered twice")
-        _ALL[name] = (query, sql)
-        return query
-
-    return put
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, (query, _) in _ALL.items()}
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
+    return {name: sql for name, (_, sql) in ALL.items() if sql is not None}
