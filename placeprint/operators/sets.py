@@ -21,7 +21,7 @@ def without_folders(files: DataFrame, *names: str, path: str = "path") -> DataFr
 
 def leaked(split: DataFrame, provenance: DataFrame, path: str = "path") -> DataFrame:
     """Held-out files that some training clip draws on; paths compared in normal form."""
-    used = provenance.select(paths.normal(F.explode("source_files")).alias("__p"))
+    used = provenance.select(F.explode("source_files").alias("__p")).select(paths.normal(F.col("__p")).alias("__p"))
     return split.join(used, paths.normal(F.col(path)) == F.col("__p"), "left_semi")
 
 

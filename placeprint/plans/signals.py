@@ -44,8 +44,8 @@ def segments_with_tail(spark, sf_dir):
 
 @register(
     "merged_windows_lineage",
-    f"""WITH {FILES}, g AS (SELECT stream, file, off + file_pos AS gpos, (off + file_pos) // {SIZE} AS window FROM fs JOIN offs USING (stream, file))
-SELECT stream, window::BIGINT AS window, string_agg(DISTINCT file, '+' ORDER BY file) AS source_files, count(DISTINCT file) > 1 AS merged, count(*) AS n FROM g GROUP BY stream, window HAVING count(*) = {SIZE}""",
+    f"""WITH {FILES}, g AS (SELECT stream, file, off + file_pos AS gpos, (off + file_pos) // {SIZE} AS "window" FROM fs JOIN offs USING (stream, file))
+SELECT stream, "window"::BIGINT AS "window", string_agg(DISTINCT file, '+' ORDER BY file) AS source_files, count(DISTINCT file) > 1 AS merged, count(*) AS n FROM g GROUP BY stream, "window" HAVING count(*) = {SIZE}""",
 )
 def merged_windows_lineage(spark, sf_dir):
     """Windows across file borders with the files they draw on."""
@@ -84,25 +84,25 @@ def seam_crossfade(spark, sf_dir):
     return windows.crossfade(_in_files(spark, sf_dir), HALF).select("event_id", F.round("sample", 6).alias("y"))
 
 
-LOUD = f"{SIG}, l AS (SELECT stream, pos // {SIZE} AS window, sqrt(avg(power(sample / 1000, 2))) AS rms, max(abs(sample / 1000)) AS peak, avg((abs(sample / 1000) < {{level}})::INT) AS quiet FROM sig GROUP BY ALL HAVING count(*) = {SIZE})"
+LOUD = f"{SIG}, l AS (SELECT stream, pos // {SIZE} AS \"window\", sqrt(avg(power(sample / 1000, 2))) AS rms, max(abs(sample / 1000)) AS peak, avg((abs(sample / 1000) < {{level}})::INT) AS quiet FROM sig GROUP BY ALL HAVING count(*) = {SIZE})"
 
 
 def _scaled(spark, sf_dir):
     return windows.tumbling(_signal(spark, sf_dir).withColumn("sample", F.col("sample") / 1000), SIZE)
 
 
-@register("loudness_probe", f"WITH {LOUD.format(level=0.004)} SELECT stream, window, round(rms, 6) AS rms, round(peak, 6) AS peak, round(quiet, 6) AS quiet FROM l")
+@register("loudness_probe", f"WITH {LOUD.format(level=0.004)} SELECT stream, \"window\", round(rms, 6) AS rms, round(peak, 6) AS peak, round(quiet, 6) AS quiet FROM l")
 def loudness_probe(spark, sf_dir):
     l = windows.loudness(_scaled(spark, sf_dir), "stream", "window")
     return l.select("stream", "window", *[F.round(c, 6).alias(c) for c in ("rms", "peak", "quiet")])
 
 
-@register("silence_filter_wide", f"WITH {LOUD.format(level=0.004)} SELECT stream, window, round(rms, 6) AS rms FROM l WHERE NOT (rms < 0.0015 OR quiet > 0.92)")
+@register("silence_filter_wide", f"WITH {LOUD.format(level=0.004)} SELECT stream, \"window\", round(rms, 6) AS rms FROM l WHERE NOT (rms < 0.0015 OR quiet > 0.92)")
 def silence_filter_wide(spark, sf_dir):
     return windows.audible(_scaled(spark, sf_dir), "stream", "window").select("stream", "window", F.round("rms", 6).alias("rms"))
 
 
-@register("silence_filter_environment", f"WITH {LOUD.format(level=0.01)} SELECT stream, window, round(quiet, 6) AS quiet FROM l WHERE quiet <= 0.7")
+@register("silence_filter_environment", f"WITH {LOUD.format(level=0.01)} SELECT stream, \"window\", round(quiet, 6) AS quiet FROM l WHERE quiet <= 0.7")
 def silence_filter_environment(spark, sf_dir):
     return windows.audible(_scaled(spark, sf_dir), "stream", "window", profile=windows.ENVIRONMENT).select("stream", "window", F.round("quiet", 6).alias("quiet"))
 
