@@ -109,4 +109,4 @@ def importance_top20(spark, sf_dir):
 @register("leaderboard")
 def leaderboard(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return learning.leaderboard(train.cache(), test.cache(), ("logistic", "tree", "forest", "svm"))
+    return learning.leaderboard(train.cache(), test.cache(), ("logistic", "tree", "forest"))
