@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from placeprint.llm.simhash import forest
 
 @dataclass(frozen=True)
 class Settings:
-    """threshold: least cosine of a link. tables: independent projections. probes: neighbouring points asked in each.
+    """threshold: least cosine of a link. tables: independent projections (three times as many for each further block). probes: neighbouring points asked in each.
     scale: of a unit vector's projection against the lattice. cell_rows: rows of a label that one point should hold; sets
     the number of lattice blocks in a key. bucket_rows: rows of one point that are compared in one piece."""
 
@@ -261,6 +261,12 @@ def blocks_for(rows: int, settings: Settings) -> int:
     return max(1, math.ceil(math.log2(max(rows, 1) / settings.cell_rows) / 7.8))
 
 
+def planned(rows: int, settings: Settings) -> tuple[int, Settings]:
+    """Blocks for so many rows of one label, and settings with as many more tables as longer keys need for the recall."""
+    blocks = blocks_for(rows, settings)
+    return blocks, replace(settings, tables=settings.tables * 3 ** (blocks - 1))
+
+
 def near_vectors(df: DataFrame, settings: Settings = Settings(), vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding") -> DataFrame:
     """One row per row of df: vec_id, n_links, component_id, kept.
 
@@ -281,7 +287,7 @@ def near_vectors(df: DataFrame, settings: Settings = Settings(), vec_id: str = "
     alike = rows.where("good").groupBy("h1", "h2").agg(F.count("*").alias("mult"), F.min("vec_id").alias("first"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
     reps = written(alike.withColumn("row", F.monotonically_increasing_id()), "vectors")
     largest = reps.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
-    blocks = blocks_for(largest[0], settings)
+    blocks, settings = planned(largest[0], settings)
     source = reps.select("row", "label", "mult", "v").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), largest[1] // 50_000), "row")
     lean = source.mapInArrow(_post(blocks, settings, True), "key long, home boolean")
     hot = lean.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > settings.bucket_rows)
