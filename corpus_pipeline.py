@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document of the mix as token ids (little-endian unsigned 32-bit), with the digest of the decoded bytes."""
-    out = bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN, name="__bpe")
+    out = bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN, name="__bpe", carry=["doc_id", "source"])
     return out.select("doc_id", "source", "__bpe.n_tokens", "__bpe.ids", "__bpe.ids_sha256", "__bpe.decoded_sha256")
 
 

@@ -10,19 +10,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from placeprint.llm.common import bounded_batches, trim
 
 #: No pair, padding.
 NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes than this would make a matrix of very many rounds; a heap merges them by the same rule.
 MATRIX_BYTES = 2048
 #: A worker forgets its pieces when it knows so many.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 #: Cells in one matrix at most.
 CELLS = 4_000_000
 
@@ -195,26 +200,26 @@ def _vocabulary(key: tuple, shared) -> Vocabulary:
     return _known[key]
 
 
-def encoder(spark, path: str, pattern: str):
-    """A pandas UDF: text -> struct(n_tokens, ids, ids_sha256, decoded_sha256); a null text counts as empty.
+def _encode_rows(key: tuple, shared, column: str):
+    """Rows with a struct of ids behind their columns, a few hundred at a time; what a task has learned goes with it."""
 
-    The driver reads the rank file (under 1 MB for 50,000 tokens, so a broadcast of bounded size); workers build the
-    pair table once. ids are the little-endian unsigned 32-bit integers themselves.
-    """
-    shared, key = spark.sparkContext.broadcast(read_ranks(path)), (path, pattern)
-
-    @F.pandas_udf("n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(key, shared)
-        ids = v.encode_all(["" if t is None else t for t in texts])
-        return pd.DataFrame({
-            "n_tokens": [len(x) // 4 for x in ids],
-            "ids": ids,
-            "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-            "decoded_sha256": [hashlib.sha256(v.decode(x)).hexdigest() for x in ids],
-        })
-
-    return encode
+        try:
+            for whole in batches:
+                for i in range(0, whole.num_rows, 512):
+                    b = whole.slice(i, 512)
+                    ids = v.encode_all([t or "" for t in b.column(column).to_pylist()])
+                    made = pa.StructArray.from_arrays([
+                        pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(v.decode(x)).hexdigest() for x in ids], pa.string()),
+                    ], ["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if b.schema.names[k] != column), made], [*(n for n in b.schema.names if n != column), "__made"])
+        finally:
+            v.cache = {}
+            trim()
+
+    return run
 
 
 def decoder(spark, path: str, pattern: str):
@@ -229,13 +234,19 @@ def decoder(spark, path: str, pattern: str):
     return decode
 
 
-def bpe_encode(df: DataFrame, path: str, pattern: str, text: str | Column = "text", keep_ids: bool = True, name: str = "bpe") -> DataFrame:
-    """df with a struct column ``name``: n_tokens, ids (binary), ids_sha256, decoded_sha256 of its text.
+def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", name: str = "bpe", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of df (all by default) with a struct ``name``: n_tokens, ids, ids_sha256, decoded_sha256.
 
-    Map-only: no shuffle, every row by itself. Null and empty texts have no tokens; repeated rows and ties need no rule;
-    an empty table gives an empty one; other columns pass through, and one that is called ``name`` is replaced.
+    ids are little-endian unsigned 32-bit integers. The driver reads the rank file (under 1 MB for 50,000 tokens, so a
+    broadcast of bounded size); workers build the pair table once. Map-only: no shuffle, every row by itself. Null and
+    empty texts have no tokens; repeated rows and ties need no rule; an empty table gives an empty one; a column that is
+    called ``name`` is replaced.
     """
-    out = encoder(df.sparkSession, path, pattern)(F.col(text) if isinstance(text, str) else text)
-    if not keep_ids:
-        out = out.dropFields("ids")
-    return df.withColumn(name, out)
+    spark, key = df.sparkSession, (path, pattern)
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(read_ranks(path))
+    carry = [c for c in (df.columns if carry is None else carry) if c != name]
+    rows = df.select(*carry, F.col(text).alias("__text"))
+    made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("__made", made)])
+    return rows.mapInArrow(_encode_rows(key, shared, "__text"), schema).withColumnRenamed("__made", name)

@@ -1,91 +1,38 @@
-"""What the operators of this subpackage share: the shared folder, written tables, connected components."""
+"""What the operators of this subpackage share: written tables, connected components, bounds on workers' memory."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
+import sys
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
-#: Words are runs of characters other than space, tab, LF, VT, FF and CR.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where the setting is absent and Spark runs in one process (as in tests) a temporary folder takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="placeprint-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is removed when the application ends."""
-    path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+from placeprint.operators.graph import components
+from placeprint.sources.shared import drop_written, new_path, written
 
+__all__ = ["BATCH_BYTES", "WORD", "bounded_batches", "components", "drop_written", "new_path", "trim", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again. Lost executors lose none of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Remove a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    for d in {os.path.dirname(f) for f in df.inputFiles()}:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step over edges (a, b) with a > b.
+#: Words are runs of characters other than space, tab, LF, VT, FF and CR.
+WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes in one Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 
-    The least neighbour of a node is a partial aggregate; it meets the edges again in an equi-join, whose hot keys
-    adaptive execution splits.
-    """
-    if large:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = edges.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least, "a")
-        out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").unionAll(least.select("a", F.col("m").alias("b")))
-    return out.distinct()
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes for this session, as rows may be long texts; a smaller bound of the user's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): (node, root) for every node with an edge, root being the least node reached.
 
-    Alternating large and small stars: the number of rounds grows with the logarithm of the longest path. Every round
-    ends in a written table; nothing but two numbers reaches the driver. Self-loops and null ends are ignored; an empty
-    edge table gives an empty result.
-    """
-    state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
-        got = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not got[0] or tuple(got) == before:
-            break
-        before = tuple(got)
-        nxt = written(_stars(_stars(state, True), False), "stars")
-        drop_written(state)
-        state = nxt
-    else:
-        raise RuntimeError(f"components: not settled after {rounds} rounds")
-    return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+def trim() -> None:
+    """Give what a task has freed back to the system at its end; its worker stays and may serve other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -15,10 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeprint.llm.common import written
+from placeprint.llm.common import bounded_batches, trim, written
 
 #: Bytes of distinct content in one table.
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 16 << 20
 #: Ways in which a bucket that doesn't fit is partitioned again, and buckets split in one round at most.
 FANOUT = 16
 MOST_SPLIT = 1000
@@ -162,6 +162,7 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str | Column = "tex
     null id as smaller than any other; a group of null ids only has a null keep_id and one kept row. Text may be a
     column that normalises first. An empty table gives an empty result; other columns of df aren't looked at.
     """
+    bounded_batches(df.sparkSession)
     content = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
     rows = df.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(content).alias("h"), content.cast("binary").alias("content"))
     folded = written(rows.mapInArrow(_fold(table_bytes), "rep long, h long, bytes long, n long, top long, sha string, ids array<long>, content binary"), "folded")
@@ -189,6 +190,8 @@ def _rows_fold(doc_id: str, text: str, window_bytes: int):
                 held, size = [], 0
         if held:
             yield from _best_rows(pa.Table.from_batches(held), doc_id, text, None)
+        held.clear()
+        trim()
 
     return run
 
@@ -226,6 +229,8 @@ def _rows_meet(doc_id: str, text: str):
                     held = list(_best_rows(pa.Table.from_batches(held), doc_id, text, None))
         if held:
             yield from _best_rows(pa.Table.from_batches(held), doc_id, text, None)
+        held.clear()
+        trim()
 
     return run
 
@@ -236,6 +241,7 @@ def drop_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", table_
     Texts cross the network once, after copies that meet in a scan task are folded. A null text counts as empty (the row
     that stays keeps its own null); an empty table gives an empty one; all columns stay as they are.
     """
+    bounded_batches(df.sparkSession)
     rows = df.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     bucket, n = _bucket(rows.select("__h", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes")), table_bytes, "__h")
     folded = rows.mapInArrow(_rows_fold(doc_id, text, table_bytes), rows.schema)

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeprint.llm.common import drop_written, written
+from placeprint.llm.common import bounded_batches, drop_written, trim, written
 
 #: Languages that the driver is ready to hold.
 MAX_LANGUAGES = 2000
 #: Resolved words in a worker's memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -93,12 +93,12 @@ class Model:
 
     def __init__(self, langs: list[str], known: dict[str, int], word_logs: np.ndarray, grams_: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.langs, self.known, self.word_logs, self.grams = langs, known, word_logs, grams_
-        self._forget()
+        self.forget()
 
     def __reduce__(self):
         return Model, (self.langs, self.known, self.word_logs, self.grams)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((4096, max(1, len(self.langs))))
         self.used = 1  # row 0 says nothing: not a letter
@@ -153,7 +153,7 @@ class Model:
         for i in range(0, len(texts), 512):
             seen = [words(t or "") for t in texts[i : i + 512]]
             if len(self.at) > CACHE_WORDS:
-                self._forget()
+                self.forget()
             self._learn(sorted(set().union(*seen) - self.at.keys()))
             get = self.at.__getitem__
             for some in seen:
@@ -174,6 +174,7 @@ class Model:
 def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn from train(doc_id, text, lang), lang not null. Counts of languages cover all rows; the words and n-grams
     come from the bounded sample of Settings. Without rows the model knows no language."""
+    bounded_batches(train.sparkSession)
     seen = train.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(seen) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -210,12 +211,18 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
 
 def predictor(spark, model: Model):
     """A pandas UDF: text -> struct(lang_pred, score)."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = shared.value.predict(list(texts))
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in batches:
+                langs, scores = shared.value.predict(list(texts))
+                yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        finally:
+            shared.value.forget()
+            trim()
 
     return predict
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeprint.llm.common import written
+from placeprint.llm.common import bounded_batches, written
 
 _START, _END = xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end")
 
@@ -265,6 +265,7 @@ def score(df: DataFrame, held_out: Column, deleted: Column, settings: Settings =
     Repeated rows are learned and scored as often as they occur; an empty table gives an empty one; other columns of df
     aren't looked at.
     """
+    bounded_batches(df.sparkSession)
     held = F.coalesce(held_out, F.lit(False))
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held"), (F.coalesce(deleted, F.lit(False)) & ~held).alias("deleted"), F.col(text).cast("binary").alias("text"))
     blocks = written(rows.mapInArrow(_pack(settings.block_bytes), _BLOCK), "lm-blocks")

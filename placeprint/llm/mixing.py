@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,7 +115,8 @@ def mix(df: DataFrame, settings: Settings = Settings(), source: str = "source",
     plan = [(s, ppm, b // t, b % t) for (s, t), (ppm, b) in zip(some, budgets([t for _, t in some], settings) if some else [])]
     plan += [(r["s"], 0, 1, 0) for r in totals if not r["t"]]
     small = (lambda x: F.broadcast(x)) if len(plan) <= BROADCAST_SOURCES else (lambda x: x)
-    plan = spark.createDataFrame(plan, _PLAN)
+    columns = list(zip(*plan)) if plan else [[]] * 4
+    plan = spark.createDataFrame(pa.table({f.name: pa.array(c, pa.string() if f.name == "__source" else pa.int64()) for f, c in zip(_PLAN.fields, columns)}), _PLAN)
 
     def permuted(source_: Column, epoch: Column, block_: Column) -> Column:
         return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(source_, F.lit("")), epoch.cast("string"), block_))

@@ -20,8 +20,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count and the digests of its ids and of the decoded bytes."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN, keep_ids=False)
+    out = bpe.bpe_encode(_read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, carry=["doc_id"])
     return out.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeprint.llm.common import written
+from placeprint.llm.common import bounded_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The characters of an e-mail's local part, and the patterns.
@@ -198,6 +198,7 @@ def find_private(df: DataFrame, settings: Settings = Settings(), doc_id: str = "
     have none; repeated rows repeat their result and count as often as they occur, but equal surroundings support a term
     once only. An empty table gives an empty one; other columns of df aren't looked at.
     """
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = written(rows.mapInArrow(_find(settings.window), _FOUND), "private")
     rated = disclosing(found, rows.select("text"), settings)

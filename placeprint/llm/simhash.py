@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeprint.llm.common import components, written
+from placeprint.llm.common import bounded_batches, components, trim, written
 
 #: Rows that meet in one bucket at most; fuller buckets take the way by midpoints, which is exact and linear.
 BUCKET_ROWS = 512
@@ -46,9 +46,13 @@ def fingerprint(text: str | None, width: int, seed: int) -> int:
 def fingerprints(df: DataFrame, width: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row; map-only. Null and empty texts have the fingerprint 0."""
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, width, seed) for t in texts], dtype=np.uint64).view(np.int64))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, width, seed) for t in texts], dtype=np.uint64).view(np.int64))
+        trim()
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("fp"))
 

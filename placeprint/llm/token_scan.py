@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placeprint.llm.common import new_path
+from placeprint.llm.common import bounded_batches, new_path
 
 #: Ends a document; never the id of a word.
 EOD = 0
@@ -107,6 +107,7 @@ def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", byte
     order among equal lengths gives the same result. An empty table gives an empty one; other columns aren't looked at.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     total = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     files = max(1, -(-total // (3 * bytes_a_file)))  # a word and its space are about six bytes, its id two
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(files)).alias("file"), F.col(text).alias("text"))
