@@ -205,3 +205,23 @@ def test_running_sum_and_components(spark):
     assert got == {(k, o): sum(v for kk, oo, v in rows if kk == k and oo < o) for k, o, _ in rows}
     g = graph.groups_of(spark.createDataFrame([("f1", 1), ("f2", 1), ("f2", 2), ("f3", 2), ("f4", 3)], "f string, c int"), "f", "c")
     assert {r[0]: r[1] for r in g.collect()} == {"f1": "f1", "f2": "f1", "f3": "f1", "f4": "f4"}
+
+
+def test_ledgers_and_record_filters(spark):
+    records = spark.createDataFrame([("a", {"x": 1.0}), ("b", None), ("c", {"x": 2.0}), ("d", {"y": 1.0})], "file string, avg_scores map<string,double>")
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "file string")
+    assert {r["file"] for r in sets.usable(records, names("a", "b", "c"), names("c")).collect()} == {"a"} and sets.usable(records).count() == 3
+    files = spark.createDataFrame([("root/in/_chunks/x.wav",), ("root\\in\\_processed\\y.wav",), ("root/in/z.wav",)], "path string")
+    assert [r["path"] for r in sets.without_folders(files, "_chunks", "_processed").collect()] == ["root/in/z.wav"]
+    split = spark.createDataFrame([("office", "raw\\office\\a.wav"), ("office", "raw/office/b.wav")], "location string, path string")
+    used = spark.createDataFrame([(["raw/office/a.wav", "raw/office/c.wav"],)], "source_files array<string>")
+    assert [r["path"] for r in sets.leaked(split, used).collect()] == ["raw\\office\\a.wav"]
+
+
+def test_array_windows_and_silence(spark):
+    df = spark.createDataFrame([(1, [0.5] * 10), (2, [0.001] * 4), (3, [])], "id int, samples array<float>")
+    cut = {r["id"]: [len(w) for w in r["w"]] for r in df.select("id", windows.array_windows(F.col("samples"), 4).alias("w")).collect()}
+    whole = {r["id"]: [len(w) for w in r["w"]] for r in df.select("id", windows.array_windows(F.col("samples"), 8, "whole").alias("w")).collect()}
+    assert cut == {1: [4, 4], 2: [4], 3: []} and whole == {1: [8], 2: [4], 3: []}
+    heard = {r["id"]: r["a"] for r in df.select("id", windows.audible_array(F.col("samples")).alias("a")).collect()}
+    assert heard == {1: True, 2: False, 3: False}

@@ -84,3 +84,16 @@ def test_entry_and_import_without_the_subpackage(spark, tmp_path):
     code = "import sys; sys.modules['placeprint.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(root)})
     assert out.stdout.split()[-1] == "False" and int(out.stdout.split()[-3]) == len(catalogue.queries())
+
+
+def test_flows(spark, sf_dir):
+    q = catalogue.queries()
+    t = q["training_flow"](spark, sf_dir).first()
+    assert t["locations"] == 3 and t["baselines"] >= 3 and -1 <= t["moderate_threshold"] <= 1
+    got = {r["name"]: r for r in q["predict_flow"](spark, sf_dir).collect()}
+    assert got["silence.wav"]["status"] == got["corrupt.wav"]["status"] == "REJECTED_LOW_QUALITY" and got["silence.wav"]["final_match"] is None
+    assert got["sine_440.wav"]["final_match"] == "office" and got["sine_440.wav"]["num_windows"] == got["sine_440.wav"]["hashes"] == 2
+    env = q["environment_flow"](spark, sf_dir).collect()
+    assert {r["label"] for r in env} <= {"quiet", "moderate", "noisy"} and len(env) > 3
+    three = {r["filename"]: r["recording"] for r in q["three_level_scan"](spark, sf_dir).collect()}
+    assert three["sine_440.wav"] == "office" and "call.amr" not in three
