@@ -24,6 +24,8 @@ BUCKET_ROWS = 512
 #: What shuffling one probe costs, in candidates.
 PROBE_COST = 8.0
 BITS = 64
+#: Fingerprints of more than one part in so many of all rows are looked up in a broadcast.
+HOT_SHARE = 1000
 
 
 def fingerprint(text: str | None, width: int, seed: int) -> int:
@@ -318,12 +320,16 @@ def near_dedup(df: DataFrame, width: int = 3, tau: int = 2, seed: int = 42, doc_
     columns of df aren't looked at.
     """
     own = written(fingerprints(df, width, seed, doc_id, text), "fingerprints")
-    first = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    first = written(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     reached = components(links(first.select("fp"), tau))
     least = first.join(reached, first.fp == reached.node).groupBy("root").agg(F.min("first").alias("component_id"))
     of_linked = reached.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of_all = first.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return own.join(of_all, "fp").select("doc_id", "fp", "component_id")
+    of_all = written(first.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "components")
+    # A fingerprint of more than a thousandth of all rows is one of fewer than a thousand: these are broadcast, the rest is joined.
+    common = F.broadcast(of_all.where(F.col("n") * HOT_SHARE > first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("fp", "component_id", F.lit(True).alias("found")))
+    met = own.join(common, "fp", "left")
+    rest = met.where("found is null").select("doc_id", "fp").join(of_all, "fp")
+    return met.where("found").select("doc_id", "fp", "component_id").unionAll(rest.select("doc_id", "fp", "component_id"))
 
 
 def fingerprint_hex(fp):
