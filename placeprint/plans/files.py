@@ -39,11 +39,13 @@ def recordings() -> dict[str, bytes]:
     return out
 
 
-def folder(spark) -> str:
-    root = new_path(spark, "recordings")
+def folder(spark, site: str | None = None) -> str:
+    """A fresh folder with the recordings, or one that holds them in a folder of its own."""
+    top = new_path(spark, "recordings")
+    root = f"{top}/{site}" if site else top
     for name, content in recordings().items():
         put_file(spark, f"{root}/{name}", content)
-    return root
+    return top
 
 
 @register("scan_layouts")

@@ -103,7 +103,5 @@ def environment_flow(spark, sf_dir):
 
 @register("three_level_scan")
 def three_level_scan(spark, sf_dir):
-    """location/recording/file.wav, seen from one level above the folder tree."""
-    root = folder(spark)
-    up = root.rsplit("/", 1)[0]
-    return audio.scan_three_levels(spark, up).where(F.col("location") == root.rsplit("/", 1)[1]).select("recording", "filename")
+    """location/recording/file.wav."""
+    return audio.scan_three_levels(spark, folder(spark, "site")).select("location", "recording", "filename")

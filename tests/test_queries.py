@@ -96,4 +96,4 @@ def test_flows(spark, sf_dir):
     env = q["environment_flow"](spark, sf_dir).collect()
     assert {r["label"] for r in env} <= {"quiet", "moderate", "noisy"} and len(env) > 3
     three = {r["filename"]: r["recording"] for r in q["three_level_scan"](spark, sf_dir).collect()}
-    assert three["sine_440.wav"] == "office" and "call.amr" not in three
+    assert three["sine_440.wav"] == "office" and "call.amr" not in three and "notes.txt" not in three
