@@ -11,14 +11,15 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeprint.functions import vectors
 from placeprint.operators import scoring
 
 #: Locations that the driver holds centres of.
 MAX_LOCATIONS = 10_000
+#: Clips of a location that may be listed to pick starting vectors; of larger ones a few are drawn by hash.
+SMALL_LOCATION = 4096
 
 
 def standardised(clips: DataFrame, train: DataFrame | None = None) -> DataFrame:
@@ -47,8 +48,11 @@ def kmeans_by_location(clips: DataFrame, runs: int = 10, steps: int = 25, seed:
         return spark.createDataFrame([], "location string, sub_id int, centroid array<double>, size long, inertia double")
     most = 3 * runs
     order = F.struct(F.xxhash64(F.lit(seed), "clip_id").alias("d"), "clip_id", "vector")
-    drawn = clips.where(F.pmod(F.xxhash64(F.lit(seed), "clip_id"), F.lit(1 << 20)) < F.lit(1 << 20))
-    starts = {r["location"]: [np.array(x["vector"]) for x in r["s"]] for r in drawn.groupBy("location").agg(F.slice(F.array_sort(F.collect_list(order)), 1, most).alias("s")).collect()} if max(r["n"] for r in counted) <= 4096 else _drawn_starts(clips, counted, most, seed)
+    if max(r["n"] for r in counted) <= SMALL_LOCATION:
+        picked = clips.groupBy("location").agg(F.slice(F.array_sort(F.collect_list(order)), 1, most).alias("s"))
+        starts = {r["location"]: [np.array(x["vector"]) for x in r["s"]] for r in picked.collect()}
+    else:
+        starts = _drawn_starts(clips, counted, most, seed)
     centres = {}
     for r in counted:
         k, own = baselines_of(r["n"]), starts[r["location"]]
@@ -251,8 +255,3 @@ def learning_curve(train_rows: DataFrame, test_rows: DataFrame, kind: str = "for
         out = predicted(train(train_rows.where(d < s), kind), test_rows)
         rows.append((float(s), float(MulticlassClassificationEvaluator(metricName="accuracy").evaluate(out))))
     return train_rows.sparkSession.createDataFrame(rows, "share double, accuracy double")
-
-
-def co_located(a: Column, b: Column) -> Column:
-    """Cosine of two vectors as an inline check of unscaled features."""
-    return vectors.cosine(a, b)
