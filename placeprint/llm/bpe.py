@@ -27,7 +27,7 @@ NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes than this would make a matrix of very many rounds; a heap merges them by the same rule.
 MATRIX_BYTES = 2048
 #: A worker forgets its pieces when it knows so many.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 300_000
 #: Cells in one matrix at most.
 CELLS = 4_000_000
 
