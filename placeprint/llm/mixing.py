@@ -27,12 +27,14 @@ STEPS = 60
 @dataclass(frozen=True)
 class Settings:
     """entropy: least entropy of the weights, as a share of the largest possible; None: no target.
-    max_repeat: passes over any one source at most. budget: tokens of the mix; None: as many as there are."""
+    max_repeat: passes over any one source at most. budget: tokens of the mix; None: as many as there are.
+    rounded: budgets from weights in whole millionths, as the SQL of op2 has them; it loses sources below half a millionth."""
 
     entropy: float | None = 0.95
     max_repeat: float = 4.0
     budget: int | None = None
     seed: str = "mix"
+    rounded: bool = False
 
 
 def weights_at(shares: list[float], a: float) -> list[float]:
@@ -76,10 +78,23 @@ def exponent(tokens: list[int], settings: Settings) -> float:
 
 
 def budgets(tokens: list[int], settings: Settings) -> list[tuple[int, int]]:
-    """(weight in millionths, tokens of the mix) of each source."""
+    """(weight in millionths, tokens of the mix) of each source.
+
+    Budgets come from the weights as they are, as whole tokens with the remainders dealt out by size, so that without the
+    repetition limit they add up to the whole budget; only the reported weight is rounded.
+    """
     a, total = exponent(tokens, settings), sum(tokens)
-    ppm = [math.floor(w * 1e6 + 0.5) for w in weights_at([t / total for t in tokens], a)]
-    return [(x, min(x * (settings.budget or total) // 1_000_000, math.floor(settings.max_repeat * t))) for x, t in zip(ppm, tokens)]
+    shares, budget = [t / total for t in tokens], settings.budget or total
+    ppm = [math.floor(w * 1e6 + 0.5) for w in weights_at(shares, a)]
+    if settings.rounded:
+        return [(x, min(x * budget // 1_000_000, math.floor(settings.max_repeat * t))) for x, t in zip(ppm, tokens)]
+    raised = tokens if a == 1.0 else [int(math.ldexp(p**a, 200)) for p in shares]
+    whole = sum(raised)
+    parts = [divmod(x * budget, whole) for x in raised]
+    out, left = [x for x, _ in parts], budget - sum(x for x, _ in parts)
+    for i in sorted(range(len(parts)), key=lambda i: -parts[i][1])[:left]:
+        out[i] += 1
+    return [(x, min(b, math.floor(settings.max_repeat * t))) for x, b, t in zip(ppm, out, tokens)]
 
 
 def word_count(text: str = "text") -> Column:

@@ -25,8 +25,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all sources: every document of it with its pass and its place in the pass."""
-    out = mixing.mix(_read(spark, sf_dir, "documents"))
+    """The mix of all sources: every document of it with its pass and its place in the pass; budgets as its SQL has them."""
+    out = mixing.mix(_read(spark, sf_dir, "documents"), mixing.Settings(rounded=True))
     return out.select("doc_id", "source", F.col("mix_ppm").alias("weight_ppm"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block_key"), F.col("mix_key").alias("doc_key"))
 
 

@@ -333,6 +333,19 @@ def test_mixing_budgets():
     assert mixing.exponent([5, 5], s) == 1.0 and mixing.exponent([5], s) == 1.0
 
 
+def test_mixing_budgets_lose_no_source():
+    """Sources far below a millionth, and ones whose weight is no whole millionth."""
+    tiny = [1_670_000_000] * 3 + [500]
+    assert mixing.budgets(tiny, mixing.Settings())[3][1] >= 500
+    natural = mixing.Settings(entropy=None)
+    equal = [25_000_000 + i for i in range(200)]
+    for tokens in (tiny, equal, [7], [3, 1, 10**15]):
+        assert [b for _, b in mixing.budgets(tokens, natural)] == tokens
+    zipf = [5_000_000_000 // 3] + [math.floor(1e9 / i**1.5) + 1 for i in range(1, 99_999)]
+    got = mixing.budgets(zipf, mixing.Settings())
+    assert sum(b for _, b in got) == sum(zipf) and min(b for _, b in got) > 0
+
+
 def test_mixing_takes_what_the_budget_buys(spark, docs, empty):
     out = mixing.mix(docs, mixing.Settings(entropy=1.0, max_repeat=3.0)).select("doc_id", "source", "mix_epoch", "text").collect()
     data = docs.collect()
