@@ -1,6 +1,6 @@
 """Personal data by pattern, and terms that disclose it by information theory.
 
-Patterns find the protected entities. A term next to an entity discloses it if its pointwise mutual information with the
+Patterns find the protected entities. A term of the same document discloses one if its pointwise mutual information with the
 entity, from co-occurrence over the corpus, comes near the entity's own information content: then seeing the term is
 almost as good as seeing the entity. Such terms are removed, or generalised where they disclose less.
 """
@@ -36,11 +36,9 @@ _TERM = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Settings:
-    """window: characters on either side of an entity in which terms co-occur with it. support: distinct surroundings in
-    which a term has to occur with an entity. generalise, remove: shares of the entity's information that a term gives
+    """support: documents of distinct words in which a term has to occur with an entity. generalise, remove: shares of the entity's information that a term gives
     away. filter_bits: size of the bit map of terms to be counted; a full map only makes counting slower."""
 
-    window: int = 100
     support: int = 2
     generalise: float = 0.75
     remove: float = 0.95
@@ -85,47 +83,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def nearby(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, surroundings) of the terms wholly within the window of each span and outside all spans."""
-    covered = [(a, b) for a, _, b in spans]
-    out = []
-    for a, kind, b in spans:
-        entity, found = f"{KINDS[kind]}:{text[a:b]}", []
-        for lo, hi in ((max(0, a - window), a), (b, min(len(text), b + window))):
-            for m in _TERM.finditer(text, lo, hi):
-                s, e = m.span()
-                cut = s == lo > 0 and _TERM.match(text[s - 1]) or e == hi < len(text) and _TERM.match(text[e])
-                if not cut and e - s > 1 and not any(x < e and s < y for x, y in covered):
-                    found.append((m.group().lower(), s, e))
-        around = xxhash.xxh64_intdigest(" ".join(t for t, _, _ in found)) >> 1
-        out += [(entity, t, s, e, around) for t, s, e in found]
+def occurrences(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Where each term of a text stands outside all spans: lower-cased term to (start, end) in order."""
+    out, at, done = {}, 0, 0
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        while at < len(spans) and spans[at][0] < e:  # spans are sorted by start
+            done = max(done, spans[at][2])
+            at += 1
+        if e - s > 1 and s >= done:
+            out.setdefault(m.group().lower(), []).append((s, e))
     return out
 
 
-_FOUND = "row long, doc_id long, counts array<long>, base_sha256 string, spans array<struct<start:long,kind:long,end:long>>, entities array<string>, near array<struct<entity:string,term:string,start:long,end:long,around:long>>"
+_FOUND = "row long, doc_id long, counts array<long>, base_sha256 string, spans array<struct<start:long,kind:long,end:long>>, entities array<string>, around long, terms array<struct<term:string,at:array<struct<start:int,end:int>>>>"
+#: Occurrences of terms in one batch of results, but for a single document's.
+_OCCURRENCES = 50_000
 
 
-def _find(window: int):
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))
-    close = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("around", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        for b in batches:
-            cols = {k: [] for k in ("row", "doc_id", "counts", "base_sha256", "spans", "entities", "near")}
-            for doc, value in zip(b.column(0).to_pylist(), b.column(1)):
-                text = value.as_py() or ""
-                spans = base_spans(text)
-                said = ",".join(f"{KINDS[k]}:{a}:{e}" for a, k, e in spans)
-                near = nearby(text, spans, window) if spans else []
-                row += 1
-                for k, v in zip(cols, (row, doc, [sum(s[1] == i for s in spans) for i in range(4)], hashlib.sha256(said.encode()).hexdigest(), [dict(zip(("start", "kind", "end"), s)) for s in spans],
-                                       sorted({f"{KINDS[k]}:{text[a:e]}" for a, k, e in spans}), [dict(zip(("entity", "term", "start", "end", "around"), x)) for x in near])):
-                    cols[k].append(v)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), kinds, pa.list_(pa.string()), close)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types)], list(cols))
-
-    return run
+    places = pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
+    types = {"row": pa.int64(), "doc_id": pa.int64(), "counts": pa.list_(pa.int64()), "base_sha256": pa.string(), "spans": kinds, "entities": pa.list_(pa.string()), "around": pa.int64(), "terms": places}
+    named = lambda names, values: dict(zip(names, values))
+    row = TaskContext.get().partitionId() << 33
+    for b in batches:
+        cols, many = {k: [] for k in types}, 0
+        for doc, value in zip(b.column(0).to_pylist(), b.column(1)):
+            text = value.as_py() or ""
+            spans = base_spans(text)
+            said = ",".join(f"{KINDS[k]}:{a}:{e}" for a, k, e in spans)
+            terms = occurrences(text, spans) if spans else {}
+            around = xxhash.xxh64_intdigest(" ".join(t for _, t in sorted((s, t) for t, at in terms.items() for s, _ in at))) >> 1
+            row += 1
+            many += sum(map(len, terms.values()))
+            for k, v in zip(cols, (row, doc, [sum(s[1] == i for s in spans) for i in range(4)], hashlib.sha256(said.encode()).hexdigest(), [named(("start", "kind", "end"), s) for s in spans],
+                                   sorted({f"{KINDS[k]}:{text[a:e]}" for a, k, e in spans}), around, [{"term": t, "at": [named(("start", "end"), x) for x in at]} for t, at in terms.items()])):
+                cols[k].append(v)
+            if many > _OCCURRENCES:
+                yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in cols.items()], list(cols))
+                cols, many = {k: [] for k in types}, 0
+        yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in cols.items()], list(cols))
 
 
 def _bit(term: str, bits: int) -> int:
@@ -168,42 +166,56 @@ def _term_documents(shared, bits: int):
 
 
 def disclosing(found: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """(entity, term, action): what the corpus says of terms near entities; action is generalise or remove.
+    """(entity, term, action): what the corpus says of terms and entities; action is generalise or remove.
 
-    With D documents, n(e) and n(t) of them holding entity and term, and n(e, t) holding them near each other, the term
-    gives away log2(n(e, t) D / (n(e) n(t))) of the entity's log2(D / n(e)) bits.
+    With D documents, n(e) and n(t) of them holding entity and term, and n(e, t) holding both, the term gives away
+    log2(n(e, t) D / (n(e) n(t))) of the entity's log2(D / n(e)) bits. Entities and terms that lack support on their own
+    are left out before pairs are formed, as no pair of theirs could have it.
     """
     spark = found.sparkSession
     total = found.count()
-    of_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.around").groupBy("entity", "term", "row").agg(F.min("around").alias("around"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.count_distinct("around").alias("support"))
-    pairs = written(pairs.where(F.col("support") >= settings.support).select("entity", "term", "n_et"), "pairs")
+    holds = found.select("row", "around", F.explode("entities").alias("entity"))
+    of_entity = holds.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("around").alias("s_e")).where(F.col("s_e") >= settings.support).select("entity", "n_e")
+    of_entity = written(of_entity, "entities")
+    holds = holds.join(of_entity.select("entity"), "entity")
+    has = found.select("row", "around", F.explode("terms.term").alias("term"))
+    twice = has.groupBy("term").agg(F.count("*").alias("m_t"), F.count_distinct("around").alias("s_t")).where(F.col("s_t") >= settings.support).select("term", "m_t")
+    has = has.join(holds.select("row").distinct(), "row", "left_semi").select("row", "term")
+    pairs = holds.join(has.join(twice, "term"), "row")
+    pairs = pairs.groupBy("entity", "term").agg(F.first("m_t").alias("m_t"), F.count("*").alias("n_et"), F.count_distinct("around").alias("support"))
+    pairs = pairs.where(F.col("support") >= settings.support).join(of_entity, "entity")
+    own = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
+
+    def given(n_t: str) -> Column:
+        return F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.greatest(n_t, "n_et")))
+
+    # A term stands in as many documents at least as in those with any entity: what gives too little even so never gives enough.
+    pairs = written(pairs.where((own > 0) & (given("m_t") >= settings.generalise * own)).select("entity", "term", "n_e", "n_et"), "pairs")
     bit_map = np.zeros(settings.filter_bits // 32, dtype="<u4")
     for word, bit in pairs.select("term").distinct().mapInArrow(_bits(settings.filter_bits), "word long, bit long").groupBy("word").agg(F.bit_or("bit")).collect():
         bit_map[word] = bit
     shared = spark.sparkContext.broadcast(bit_map.tobytes())
     of_term = texts.mapInArrow(_term_documents(shared, settings.filter_bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    given = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    own = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    rated = pairs.join(of_term, "term").join(of_entity, "entity").where((own > 0) & (given >= settings.generalise * own))
-    return rated.select("entity", "term", F.when(given >= settings.remove * own, "remove").otherwise("generalise").alias("action"))
+    rated = pairs.join(of_term, "term").where(given("n_t") >= settings.generalise * own)
+    return rated.select("entity", "term", F.when(given("n_t") >= settings.remove * own, "remove").otherwise("generalise").alias("action"))
 
 
 def find_private(df: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: doc_id, counts (email, ip, card, phone), base_sha256, spans (start, kind, end, action).
 
-    Base spans are always there, with the action mask; term spans are those of disclosing terms next to the entity they
-    disclose. Offsets are code points, ends exclusive. Documents without an entity have no spans. Null and empty texts
-    have none; repeated rows repeat their result and count as often as they occur, but equal surroundings support a term
-    once only. An empty table gives an empty one; other columns of df aren't looked at.
+    Base spans are always there, with the action mask; term spans are all occurrences of disclosing terms in documents
+    that hold the entity they disclose, at any distance. Offsets are code points, ends exclusive. Documents without an
+    entity have no spans. Null and empty texts have none; repeated rows repeat their result and count as often as they
+    occur, but documents of equal words support a term once only. An empty table gives an empty one; other columns of df
+    aren't looked at.
     """
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = written(rows.mapInArrow(_find(settings.window), _FOUND), "private")
+    found = written(rows.mapInArrow(_find, _FOUND), "private")
     rated = disclosing(found, rows.select("text"), settings)
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
-    terms = near.join(rated, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("action"))
+    marks = found.select("row", F.explode("entities").alias("entity")).join(rated, "entity").groupBy("row", "term").agg(F.max("action").alias("action"))
+    places = found.select("row", F.explode("terms").alias("x")).select("row", "x.term", "x.at")
+    terms = places.join(marks, ["row", "term"]).select("row", F.explode("at").alias("x"), "action").select("row", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), "action")
     terms = terms.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).cast("long").alias("kind"), "end", "action")).alias("terms"))
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("mask").alias("action")))
     out = found.select("row", "doc_id", "counts", "base_sha256", base.alias("base")).join(terms, "row", "left")

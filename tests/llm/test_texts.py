@@ -292,6 +292,19 @@ def test_sanitise_finds_disclosing_terms(spark, empty):
     assert sanitise.find_private(empty).count() == 0
 
 
+def test_sanitise_marks_terms_at_any_distance(spark):
+    """A name in the head of a letter, the address in its foot, and the name again far from both."""
+    fill = lambda i: " ".join(f"word{(i * 7 + k) % 40}" for k in range(60))
+    data = [(i, fill(i), *[None] * 7) for i in range(300)]
+    data += [(400 + i, f"Zorgon {fill(i)} zorgon {fill(i + 1)} ann.ex@mail.org", *[None] * 7) for i in range(3)]
+    text = {d[0]: d[1] for d in data}
+    got = {r["doc_id"]: r["spans"] for r in sanitise.find_private(spark.createDataFrame(data, SCHEMA)).collect()}
+    for i in (400, 401, 402):
+        said = [(s["kind"], text[i][s["start"] : s["end"]], s["action"]) for s in got[i]]
+        assert said == [("term", "Zorgon", "remove"), ("term", "zorgon", "remove"), ("email", "ann.ex@mail.org", "mask")]
+    assert not any(got[i] for i in range(300))
+
+
 def test_token_scan_counts(spark, docs, empty):
     got = token_scan.count_tokens(docs, bytes_a_file=500, block=7).collect()
     want = Counter((r["doc_id"], len((r["text"] or "").encode().split())) for r in docs.collect())
