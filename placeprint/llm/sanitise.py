@@ -154,7 +154,7 @@ def _term_documents(shared, bits: int):
             if len(known) > 500_000:
                 known = {}
             for value in b.column(0):
-                terms = set(_TERM.findall((value.as_py() or "").lower()))
+                terms = {t.lower() for t in set(_TERM.findall(value.as_py() or ""))}  # as occurrences() has them
                 counts.update(t for t in terms if (known[t] if t in known else want(t)))
             if len(counts) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["term", "n"])

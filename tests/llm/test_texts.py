@@ -305,6 +305,14 @@ def test_sanitise_marks_terms_at_any_distance(spark):
     assert not any(got[i] for i in range(300))
 
 
+def test_sanitise_counts_terms_as_it_finds_them(spark):
+    """Lower-casing a capital dotted I adds a character that isn't part of a word."""
+    data = [(i, f"one two three four filler{i % 5}", *[None] * 7) for i in range(200)]
+    data += [(300 + i, f"{name} \u0130stanbul writes to ann.ex@mail.org one", *[None] * 7) for i, name in enumerate(("alpha", "beta"))]
+    got = {r["doc_id"]: r["spans"] for r in sanitise.find_private(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert all("\u0130stanbul" in [data[200 + i][1][s["start"] : s["end"]] for s in got[300 + i]] for i in (0, 1))
+
+
 def test_token_scan_counts(spark, docs, empty):
     got = token_scan.count_tokens(docs, bytes_a_file=500, block=7).collect()
     want = Counter((r["doc_id"], len((r["text"] or "").encode().split())) for r in docs.collect())
