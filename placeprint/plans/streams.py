@@ -10,7 +10,7 @@ from placeprint.streaming import ingest
 
 
 def _events(spark, sf_dir):
-    return ingest.timed(ingest.file_stream(spark, sf_dir, "events.parquet"))
+    return ingest.timed(ingest.file_stream(spark, sf_dir, "events.parquet", files_a_trigger=None))
 
 
 @register("stream_ingest_ledger", "SELECT event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY event_type")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,9 +14,15 @@ from placeprint.sources import artifacts, sinks
 from placeprint.sources.shared import new_path
 
 
-def file_stream(spark: SparkSession, root: str, name: str, archive: str | None = None, files_a_trigger: int = 1000) -> DataFrame:
-    """A stream of the Parquet table name below root; processed files go to the archive if one is given."""
-    reader = spark.readStream.schema(spark.read.parquet(f"{root}/{name}").schema).option("maxFilesPerTrigger", files_a_trigger)
+def file_stream(spark: SparkSession, root: str, name: str, archive: str | None = None, files_a_trigger: int | None = 1000) -> DataFrame:
+    """A stream of the Parquet table name below root; processed files go to the archive if one is given.
+
+    files_a_trigger: files of one micro-batch; None: all that are there. Files come in order of their modification, so an
+    operator with a watermark that has to see rows in order of event time needs None, or files that arrive in that order.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(f"{root}/{name}").schema)
+    if files_a_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_a_trigger)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     at = f"{root}/{name}"
@@ -34,33 +41,79 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that a checkpoint belongs to: the same after a restart, another one for any other checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
 def ingest(stream: DataFrame, table: str, key: str, checkpoint: str) -> DataFrame:
-    """Append rows to a Parquet table, each key once over all batches and restarts: the table is its own ledger."""
-    spark = stream.sparkSession
+    """Append rows to a Parquet table, each key once over all batches, restarts and streams: the table is its own ledger.
+
+    A batch owns the partition (stream, batch) and replaces only that when it runs again; all other partitions are the
+    ledger. Streams with checkpoints of their own may follow one another into one table, not write it at the same time.
+    Of rows that share a key within a batch any one stays; null keys count as one key each time they occur.
+    """
+    spark, known = stream.sparkSession, {}
 
     def each(batch: DataFrame, number: int) -> None:
+        own = known["id"] if known else known.setdefault("id", stream_id(spark, checkpoint))
         fresh = batch.dropDuplicates([key])
         if artifacts.exists(spark, table):
-            fresh = fresh.join(spark.read.parquet(table).where(F.col("batch") != number).select(key), key, "left_anti")
-        fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+            others = ~((F.col("stream") == own) & (F.col("batch") == number))
+            fresh = fresh.join(spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, stream string, batch long").parquet(table).where(others).select(key), key, "left_anti")
+        fresh.withColumns({"stream": F.lit(own), "batch": F.lit(number)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(table)
 
     run_available(stream, each, checkpoint)
-    return spark.read.parquet(table)
+    return spark.read.parquet(table) if artifacts.exists(spark, table) else spark.createDataFrame([], stream.schema)
+
+
+class Versions:
+    """A table of which every write is a whole new version below root: v0, v1, ... A version counts once its mark v0.done
+    is there, so a write that was cut short is never read, and the next one replaces it."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def complete(self) -> list[int]:
+        """Numbers of the versions that count, in order."""
+        if not self.files.exists(self.path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in self.files.listStatus(self.path(self.root))]
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".done"))
+
+    def read(self) -> DataFrame | None:
+        there = self.complete()
+        return self.spark.read.parquet(f"{self.root}/v{there[-1]}") if there else None
+
+    def put(self, df: DataFrame) -> None:
+        """Write the next version and remove those before the last one, which readers may still have open."""
+        there = self.complete()
+        number = there[-1] + 1 if there else 0
+        df.write.mode("overwrite").parquet(f"{self.root}/v{number}")
+        self.files.create(self.path(f"{self.root}/v{number}.done"), True).close()
+        for old in there[:-1]:
+            self.files.delete(self.path(f"{self.root}/v{old}.done"), False)
+            self.files.delete(self.path(f"{self.root}/v{old}"), True)
 
 
 def upsert(stream: DataFrame, root: str, key: str, checkpoint: str, mode: str = "update") -> DataFrame:
-    """Keep the last row of each key: every batch merges into a new version of the table, the one before goes after it."""
-    spark, versions = stream.sparkSession, []
+    """Keep the last row of each key: every batch merges into a new version of the table below root.
+
+    The table goes on from its last complete version after a restart and for a stream with another checkpoint. A batch
+    that runs again merges the same rows a second time, which changes nothing. A batch has each key once (as an
+    aggregation's updates do); of repeats within a batch all stay.
+    """
+    spark, table = stream.sparkSession, Versions(stream.sparkSession, root)
 
     def each(batch: DataFrame, number: int) -> None:
-        path = f"{root}/v{number}"
-        last = [v for v in versions if v != path]
-        out = sinks.upserted(spark.read.parquet(last[-1]), batch, key) if last else batch
-        out.write.mode("overwrite").parquet(path)
-        versions.append(path)
+        last = table.read()
+        table.put(batch if last is None else sinks.upserted(last, batch, key))
 
     run_available(stream, each, checkpoint, mode)
-    return spark.read.parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
+    last = table.read()
+    return spark.createDataFrame([], stream.schema) if last is None else last
 
 
 def _ema(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -85,7 +138,9 @@ def windows(events: DataFrame, size: int) -> DataFrame:
         values = [*held, *pd.concat(list(batches)).sort_values(["ts", "event_id"])["value"].tolist()]
         full = len(values) // size
         state.update((values[full * size :], done + full))
-        yield pd.DataFrame({"stream": [key[0]] * full, "window": range(done, done + full), "n": [size] * full, "total": [sum(values[i * size : (i + 1) * size]) for i in range(full)]}, columns=["stream", "window", "n", "total"]).astype({"stream": "int64", "window": "int64", "n": "int64", "total": "float64"})
+        totals = [float(sum(values[i * size : (i + 1) * size])) for i in range(full)]
+        out = pd.DataFrame({"stream": [key[0]] * full, "window": list(range(done, done + full)), "n": [size] * full, "total": totals})
+        yield out.astype({"stream": "int64", "window": "int64", "n": "int64", "total": "float64"})
 
     return events.groupBy("user_id").applyInPandasWithState(run, "stream long, window long, n long, total double", "held array<double>, done long", "append", GroupStateTimeout.NoTimeout)
 
