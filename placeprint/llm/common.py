@@ -8,12 +8,12 @@ import gc
 import sys
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from placeprint.operators.graph import components
 from placeprint.sources.shared import drop_written, new_path, written
 
-__all__ = ["BATCH_BYTES", "WORD", "bounded_batches", "components", "drop_written", "new_path", "trim", "written"]
+__all__ = ["BATCH_BYTES", "WORD", "bounded_batches", "components", "drop_written", "free_name", "new_path", "trim", "written"]
 
 #: Words are runs of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def trim() -> None:
     """Give what a task has freed back to the system at its end; its worker stays and may serve other stages."""
     gc.collect()
