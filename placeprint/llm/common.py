@@ -30,10 +30,9 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def free_name(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have (Spark compares names without case)."""
-    taken = {c.lower() for c in df.columns}
+    """A column name that no column of df has or begins with (Spark compares names without case): also fit as a prefix."""
     name = f"__{name}"
-    while name.lower() in taken:
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
         name += "_"
     return name
 
