@@ -5,11 +5,14 @@ are learned by expectation-maximisation on deleted training documents, against t
 
 The model is as large as the corpus, so it is nowhere whole: documents are packed into blocks; each block asks the shards
 of the n-gram space for the counts of its own distinct n-grams, and gets them back in the order in which it asked. Rows
-are arrays: one for each block and shard, whatever the frequency of a word.
+are arrays: one for each block and shard, whatever the frequency of a word. Beyond Settings.fan shards a block asks
+groups of shards only: the questions of a range of blocks to a group are gathered into one, split by shard, and the
+answers dealt out again, so that rows stay long however large the corpus is.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,11 +30,12 @@ _START, _END = xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end"
 
 @dataclass(frozen=True)
 class Settings:
-    """block_bytes: text in one block. shard_tokens: tokens of the corpus for each shard. iterations: of EM.
-    step: of the logarithmic grid (in octaves) on which EM sees probabilities; its size doesn't depend on the corpus."""
+    """block_bytes: text in one block. shard_tokens: tokens of the corpus for each shard. fan: shards that a block asks
+    at most before they are asked in groups. iterations: of EM. step: of the logarithmic grid (in octaves) on which EM sees probabilities; its size doesn't depend on the corpus."""
 
     block_bytes: int = 8 << 20
     shard_tokens: int = 4_000_000
+    fan: int = 1024
     iterations: int = 60
     step: float = 0.25
 
@@ -129,9 +133,31 @@ class Block:
         return uni, np.bincount(self.pair[self.train], minlength=len(self.bi))
 
 
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are equal ranges of the key space, in order."""
+    width = np.uint64(-(-(2**64) // shards)) if shards > 1 else np.uint64(2**64 - 1)
+    return np.minimum(keys // width, np.uint64(shards - 1)).astype(np.int64)
+
+
+_ASKED = "shard long, block long, order long, n long, keys binary, counts binary, gone binary"
+_ASKED_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _asked(rows: list[tuple]) -> pa.Table:
+    """Rows of _ASKED; gone: the part of the counts that deleted texts bring, null where there is none."""
+    cols = list(zip(*rows)) or [[]] * len(_ASKED_TYPES)
+    return pa.table({x.split()[0]: pa.array(c, t) for x, c, t in zip(_ASKED.split(", "), cols, _ASKED_TYPES)})
+
+
+def _split(asker: int, order: int, keys: np.ndarray, counts: np.ndarray, gone: np.ndarray | None, shard: np.ndarray) -> Iterator[tuple]:
+    """One row for each shard of sorted keys."""
+    for s in np.unique(shard):
+        lo, hi = np.searchsorted(shard, [s, s + 1])
+        yield int(s), asker, order, int(hi - lo), planes(np.diff(keys[lo:hi], prepend=np.uint64(0))), planes(counts[lo:hi]), None if gone is None else planes(gone[lo:hi])
+
+
 def _ask(shards: int):
     """One row for each block, order and shard: the block's keys there and its own counts."""
-    width = np.uint64(-(-(2**64) // shards)) if shards > 1 else np.uint64(2**64 - 1)
 
     def run(batches):
         for b in batches:
@@ -139,40 +165,80 @@ def _ask(shards: int):
                 row = {name: b.column(name)[i].as_py() for name in ("block", "deleted", "held", "lens", "words", "seq")}
                 block = Block(row["held"], row["lens"], row["words"], row["seq"])
                 for order, keys, counts in zip((1, 2), (block.uni, block.bi), block.counts()):
-                    shard = np.minimum(keys // width, np.uint64(shards - 1)).astype(np.int64)
-                    for s in np.unique(shard):
-                        lo, hi = np.searchsorted(shard, [s, s + 1])
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([int(s)]), pa.array([row["block"]]), pa.array([row["deleted"]]), pa.array([order]), pa.array([int(hi - lo)]),
-                            pa.array([planes(np.diff(keys[lo:hi], prepend=np.uint64(0)))], pa.binary()), pa.array([planes(counts[lo:hi])], pa.binary()),
-                        ], ["shard", "block", "deleted", "order", "n", "keys", "counts"])
+                    for one in _split(row["block"], order, keys, counts, counts if row["deleted"] else None, _shard_of(keys, shards)):
+                        yield from _asked([one]).to_batches()
+
+    return run
+
+
+def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of one order: their distinct keys, summed counts and summed deleted counts, and where each row's keys are."""
+    keys = np.concatenate([np.cumsum(unplanes(r["keys"], r["n"]), dtype=np.uint64) for r in rows])
+    counts = np.concatenate([unplanes(r["counts"], r["n"]) for r in rows]).astype(np.int64)
+    gone = np.concatenate([np.zeros(r["n"], dtype=np.int64) if r["gone"] is None else unplanes(r["gone"], r["n"]).astype(np.int64) for r in rows])
+    unique, at = np.unique(keys, return_inverse=True)
+    return unique, *(np.bincount(at, weights=x, minlength=len(unique)).astype(np.int64) for x in (counts, gone)), at
+
+
+def _gather(shards: int):
+    """The questions of a range of blocks to a group of shards as those of one asker, by shard."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows, out = table.to_pylist(), []
+        for order in (1, 2):
+            if some := [r for r in rows if r["order"] == order]:
+                unique, counts, gone, _ = _summed(some)
+                out += _split(key[1].as_py(), order, unique, counts, gone if any(r["gone"] is not None for r in some) else None, _shard_of(unique, shards))
+        return _asked(out)
 
     return run
 
 
+def _scatter(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The answers to a gathered question, dealt out to the blocks that asked."""
+    rows, got, out = left.to_pylist(), right.to_pylist(), []
+    for order in (1, 2):
+        some = [r for r in rows if r["order"] == order]
+        back = sorted((r for r in got if r["order"] == order), key=lambda r: r["shard"])
+        if not some:
+            continue
+        *_, at = _summed(some)
+        whole = np.concatenate([unplanes(r["whole"], r["n"]) for r in back])
+        rest = np.concatenate([unplanes(r["rest"], r["n"]) for r in back]) if back[0]["rest"] is not None else None
+        types, i = sum(r["types"] for r in back), 0
+        for r in some:
+            mine = at[i : i + r["n"]]
+            i += r["n"]
+            out.append((r["block"], r["shard"], order, r["n"], planes(whole[mine]), planes(rest[mine]) if r["gone"] is not None else None, types))
+            types = 0
+    return _replies(out)
+
+
+_REPLY_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+
+
+def _replies(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows)) or [[]] * len(_REPLY_TYPES)
+    return pa.table({x.split()[0]: pa.array(c, t) for x, c, t in zip(_REPLY.split(", "), cols, _REPLY_TYPES)})
+
+
 def _reply(table: pa.Table) -> pa.Table:
-    """A shard's rows of all blocks: what each asked for, summed over the corpus, with and without deleted texts."""
-    rows = table.to_pylist()
-    out = {k: [] for k in ("block", "shard", "order", "n", "whole", "rest", "types")}
+    """A shard's rows of all askers: what each asked for, summed over the corpus, with and without deleted texts."""
+    rows, out = table.to_pylist(), []
     for order in (1, 2):
         some = [r for r in rows if r["order"] == order]
         if not some:
             continue
-        keys = np.concatenate([np.cumsum(unplanes(r["keys"], r["n"]), dtype=np.uint64) for r in some])
-        counts = np.concatenate([unplanes(r["counts"], r["n"]) for r in some]).astype(np.int64)
-        deleted = np.repeat([r["deleted"] for r in some], [r["n"] for r in some])
-        unique, at = np.unique(keys, return_inverse=True)
-        whole = np.bincount(at, weights=counts, minlength=len(unique)).astype(np.int64)
-        rest = whole - np.bincount(at[deleted], weights=counts[deleted], minlength=len(unique)).astype(np.int64)
+        unique, whole, gone, at = _summed(some)
+        rest = whole - gone
         types = int(np.count_nonzero(whole[unique != np.uint64(_START)])) if order == 1 else 0
         i = 0
         for r in some:
             mine = at[i : i + r["n"]]
             i += r["n"]
-            for k, v in zip(out, (r["block"], r["shard"], order, r["n"], planes(whole[mine]), planes(rest[mine]) if r["deleted"] else None, types)):
-                out[k].append(v)
+            out.append((r["block"], r["shard"], order, r["n"], planes(whole[mine]), planes(rest[mine]) if r["gone"] is not None else None, types))
             types = 0
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))})
+    return _replies(out)
 
 
 _REPLY = "block long, shard long, order long, n long, whole binary, rest binary, types long"
@@ -253,6 +319,18 @@ def _score(n: int, types: int, weights: np.ndarray):
     return run
 
 
+def _by_groups(asks: DataFrame, shards: int) -> DataFrame:
+    """Replies to blocks that ask groups of shards: as many groups as ranges of blocks and as shards in a group, a power
+    of two, so that no shard crosses the border of a group."""
+    groups = 1 << math.ceil(math.log2(shards) / 2)
+    shards, ranges = groups * groups, groups
+    asked = written(asks.mapInArrow(_ask(groups), _ASKED).withColumn("asker", F.pmod(F.xxhash64("block"), F.lit(ranges))), "lm-asked")
+    mid = asked.groupBy("shard", "asker").applyInArrow(_gather(shards), _ASKED)
+    answers = mid.groupBy("shard").applyInArrow(_reply, _REPLY).withColumn("group", F.floor(F.col("shard") / groups).cast("long"))
+    back = answers.groupBy("group", F.col("block").alias("asker"))
+    return asked.groupBy(F.col("shard").alias("group"), "asker").cogroup(back).applyInArrow(_scatter, _REPLY)
+
+
 def score(df: DataFrame, held_out: Column, deleted: Column, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -272,8 +350,11 @@ def score(df: DataFrame, held_out: Column, deleted: Column, settings: Settings =
     sums = blocks.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("train_tokens"), F.when(~F.col("deleted"), F.col("train_tokens")), F.col("tokens"))]).first()
     n, n_rest, tokens = sums
     shards = max(64, -(-tokens // settings.shard_tokens))
-    asked = blocks.select("block", "deleted", "held", "lens", "words", "seq").mapInArrow(_ask(shards), "shard long, block long, deleted boolean, order long, n long, keys binary, counts binary")
-    replies = written(asked.groupBy("shard").applyInArrow(_reply, _REPLY), "lm-replies")
+    asks = blocks.select("block", "deleted", "held", "lens", "words", "seq")
+    if shards <= settings.fan:
+        replies = written(asks.mapInArrow(_ask(shards), _ASKED).groupBy("shard").applyInArrow(_reply, _REPLY), "lm-replies")
+    else:
+        replies = written(_by_groups(asks, shards), "lm-replies")
     types = replies.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
 
     def paired(some: DataFrame, column: str):

@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from placeprint.llm import mixing, token_scan
+from placeprint.llm import langid, lm, mixing, token_scan
 
 
 @pytest.mark.parametrize("n", [1 << 12, 2 * 3 * 5 * 7 * 11, 2 * 1009])
@@ -92,3 +93,12 @@ def test_budgets_of_equal_sources_add_up(spark):
     own = [p["passes"] * 3 + p["rest"] for s, p in plan.items() if s not in "tu"]
     assert max(own) - min(own) == 1
     assert sum(b for _, b in mixing.budgets([3] * 97 + [20], settings)) == 400
+
+
+def test_shards_asked_in_groups_give_the_same_scores(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held, deleted = langid.held_out("doc_id", 7), langid.held_out("doc_id", 7, 3)
+    scores = [{tuple(r) for r in lm.score(docs, held, deleted, lm.Settings(block_bytes=40_000, shard_tokens=500, fan=fan)).collect()} for fan in (10**6, 2)]
+    assert scores[0] == scores[1] and len(scores[0]) == docs.count()
+    nothing_deleted = [{tuple(r) for r in lm.score(docs.limit(30), held, F.lit(False), lm.Settings(block_bytes=9_000, shard_tokens=300, fan=fan)).collect()} for fan in (10**6, 2)]
+    assert nothing_deleted[0] == nothing_deleted[1]
