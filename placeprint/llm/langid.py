@@ -14,26 +14,30 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeprint.llm.common import bounded_batches, drop_written, trim, written
 
-#: Languages that the driver is ready to hold.
-MAX_LANGUAGES = 2000
-#: Resolved words in a worker's memory.
+#: Languages that the driver is ready to hold (more raise).
+MAX_LANGUAGES = 10_000
+#: Resolved words in a worker's memory, and numbers in it (one for each word and language).
 CACHE_WORDS = 100_000
+CACHE_NUMBERS = 8_000_000
 _RUN = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Settings:
     """rows_per_lang: labelled rows that the model is fitted on, in expectation, for each language (a bounded sample,
-    taken by a hash of the id). max_grams: words, and n-grams of each order, that the model keeps (the most frequent).
-    orders: character n-grams for words that are unknown, longest first."""
+    taken by a hash of the id). max_grams: words, and n-grams of each order, that the model keeps for each language (its
+    most frequent ones, so that no language pushes out another's); max_entries: of these in all, shared alike, which
+    bounds the broadcast model. min_count: of a word or n-gram in the sample. orders: character n-grams for words that
+    are unknown, longest first."""
 
     rows_per_lang: int = 600
     max_grams: int = 100_000
+    max_entries: int = 4_000_000
     orders: tuple[int, ...] = (4, 3, 2, 1)
     smoothing: float = 0.1
     min_count: int = 2
@@ -88,11 +92,34 @@ def _codes(words_: list[str], order: int) -> np.ndarray:
     return np.frombuffer("".join(words_).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words_), -1).astype(np.uint64)
 
 
+class Sparse:
+    """Log frequencies by language of words or n-grams: base holds each language's value for what it hasn't seen; row i
+    has entries starts[i] to starts[i + 1] of (language, value less base)."""
+
+    def __init__(self, base: np.ndarray, starts: np.ndarray, langs: np.ndarray, values: np.ndarray):
+        self.base, self.starts, self.langs, self.values = base, starts, langs, values
+
+    @staticmethod
+    def dense(logs: np.ndarray) -> Sparse:
+        """Of a matrix (rows, languages)."""
+        n, k = logs.shape
+        return Sparse(np.zeros(k), np.arange(n + 1) * k, np.tile(np.arange(k), n), logs.ravel())
+
+    def sums(self, at: np.ndarray, into: np.ndarray, n: int) -> np.ndarray:
+        """(n, languages): rows ``at`` summed into the places ``into``."""
+        sizes = self.starts[at + 1] - self.starts[at]
+        entry = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(at) else at, sizes) + np.arange(int(sizes.sum()))
+        cell = np.repeat(into, sizes) * len(self.base) + self.langs[entry]
+        out = np.bincount(cell, weights=self.values[entry], minlength=n * len(self.base)).reshape(n, len(self.base))
+        return out + np.bincount(into, minlength=n)[:, None] * self.base
+
+
 class Model:
     """Log frequencies by language: of words by name, of n-grams by sorted key; pickled into a broadcast."""
 
-    def __init__(self, langs: list[str], known: dict[str, int], word_logs: np.ndarray, grams_: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.langs, self.known, self.word_logs, self.grams = langs, known, word_logs, grams_
+    def __init__(self, langs: list[str], known: dict[str, int], word_logs: np.ndarray | Sparse, grams_: dict[int, tuple[np.ndarray, np.ndarray | Sparse]]):
+        sparse = lambda x: x if isinstance(x, Sparse) else Sparse.dense(x)
+        self.langs, self.known, self.word_logs, self.grams = langs, known, sparse(word_logs), {n: (keys, sparse(x)) for n, (keys, x) in grams_.items()}
         self.forget()
 
     def __reduce__(self):
@@ -100,7 +127,7 @@ class Model:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((4096, max(1, len(self.langs))))
+        self.rows = np.zeros((64, max(1, len(self.langs))))
         self.used = 1  # row 0 says nothing: not a letter
 
     def vectors(self, unknown: list[str]) -> np.ndarray:
@@ -108,11 +135,15 @@ class Model:
         longest order of which it has any; zeros if it has none."""
         out = np.zeros((len(unknown), len(self.langs)))
         by_length: dict[int, list[int]] = {}
+        named: list[tuple[int, int]] = []
         for i, w in enumerate(unknown):
             if (k := self.known.get(w)) is not None:
-                out[i] = self.word_logs[k]
+                named.append((k, i))
             else:
                 by_length.setdefault(len(w), []).append(i)
+        if named:
+            at, into = (np.array(x, dtype=np.int64) for x in zip(*named))
+            out[into] = self.word_logs.sums(at, np.arange(len(at)), len(at))
         for length, at in by_length.items():
             left = np.array(at)
             for order, (keys, logs) in self.grams.items():
@@ -123,8 +154,7 @@ class Model:
                 hit = keys[found] == wanted
                 n = hit.sum(axis=1)
                 some = n > 0
-                total = np.stack([(logs[:, k][found[some]] * hit[some]).sum(axis=1) for k in range(len(self.langs))], axis=1)
-                out[left[some]] = total / n[some, None]
+                out[left[some]] = logs.sums(found[hit], np.nonzero(hit[some])[0], int(some.sum())) / n[some, None]
                 left = left[~some]
         return out
 
@@ -152,7 +182,7 @@ class Model:
         langs, scores = [], []
         for i in range(0, len(texts), 512):
             seen = [words(t or "") for t in texts[i : i + 512]]
-            if len(self.at) > CACHE_WORDS:
+            if len(self.at) > CACHE_WORDS or self.rows.size > CACHE_NUMBERS:
                 self.forget()
             self._learn(sorted(set().union(*seen) - self.at.keys()))
             get = self.at.__getitem__
@@ -163,7 +193,10 @@ class Model:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                total = self.rows[at].sum(axis=0) / np.sqrt(n)  # tempered: words of a text aren't independent
+                total = np.zeros(len(self.langs))
+                for i in range(0, len(at), 4096):
+                    total += self.rows[at[i : i + 4096]].sum(axis=0)
+                total /= np.sqrt(n)  # tempered: words of a text aren't independent
                 odds = np.exp(total - total.max())
                 best = int(odds.argmax())
                 langs.append(self.langs[best])
@@ -185,24 +218,35 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
     drawn = train.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language id")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     counts = drawn.select("lang", "text").mapInArrow(_counts(settings.orders), "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     counts = written(counts, "grams")
-    by_gram = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).where(F.col("total") >= settings.min_count)
+    most = max(1, min(settings.max_grams, settings.max_entries // (len(langs) * (1 + len(settings.orders)))))
+    often = counts.groupBy("n", "gram").agg(F.sum("c").alias("total")).where(F.col("total") >= settings.min_count).drop("total")
+    place_ = F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("c"), "gram"))  # a language's part of the sample
+    kept = counts.join(often, ["n", "gram"], "left_semi").withColumn("place", place_).where(F.col("place") <= most).select("n", "gram").distinct()
+    entries = counts.join(kept, ["n", "gram"], "left_semi").orderBy("n", "gram", "lang").toArrow()
     orders = (0, *settings.orders)
     sums = {n: np.zeros(len(langs)) for n in orders}
-    for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("c")).collect():
-        sums[r["n"]][langs.index(r["lang"])] = r["c"]
-    known, word_logs, by_key = {}, None, {}
     place = {lang: i for i, lang in enumerate(langs)}
+    for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("c")).collect():
+        sums[r["n"]][place[r["lang"]]] = r["c"]
+    order_of, lang_of = entries["n"].to_numpy(), np.array([place[x] for x in entries["lang"].to_pylist()], dtype=np.int32)
+    known, by_key, word_logs = {}, {}, None
     for n in orders:
-        top = by_gram.where(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(settings.max_grams).select("gram", "by").toArrow()
-        names, c = top.column(0).to_pylist(), np.full((top.num_rows, len(langs)), settings.smoothing)
-        for i, by in enumerate(top.column(1).to_pylist()):
-            for lang, k in by:
-                c[i, place[lang]] += k
-        logs = np.log(c) - np.log(sums[n] + settings.smoothing * (top.num_rows + 1))
-        if n:
+        at = np.nonzero(order_of == n)[0]
+        own = entries["gram"].take(pa.array(at)).to_pylist()
+        first = np.array([i for i, g in enumerate(own) if i == 0 or g != own[i - 1]], dtype=np.int64)
+        names, starts, langs_ = [own[i] for i in first], np.append(first, len(own)), lang_of[at]
+        if n:  # in the order of their keys
             keys = gram_keys(np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, n).astype(np.uint64), n).ravel()
             order = np.argsort(keys)
-            by_key[n] = keys[order], logs[order]
+        else:
+            keys, order = None, np.arange(len(names))
+        sizes = np.diff(starts)[order]
+        entry = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in order]) if len(order) else np.zeros(0, dtype=np.int64)
+        floor = np.log(sums[n] + settings.smoothing * (len(names) + 1))
+        c = entries["c"].to_numpy()[at][entry]
+        logs = Sparse(np.log(settings.smoothing) - floor, np.concatenate([[0], np.cumsum(sizes)]), langs_[entry], np.log(settings.smoothing + c) - np.log(settings.smoothing))
+        if n:
+            by_key[n] = keys[order], logs
         else:
             known, word_logs = {g: i for i, g in enumerate(names)}, logs
     drop_written(counts)
