@@ -168,11 +168,12 @@ def environment_features(x: np.ndarray, rate: int = RATE) -> np.ndarray:
     frames = _framed(np.pad(x, (0, max(0, size - len(x)))), size, hop)
     energy = np.sqrt((frames**2).mean(axis=1) + EPS)
     crossings = np.abs(np.diff(np.where(frames >= 0, 1, -1), axis=1)).mean(axis=1) / 2
-    spectrum = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1)) + EPS
+    magnitude = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1))
+    spectrum = magnitude + EPS
     freq = np.fft.rfftfreq(size, 1 / rate)
     flatness = np.exp(np.log(spectrum).mean(axis=1)) / spectrum.mean(axis=1)
     centroid = (spectrum * freq).sum(axis=1) / spectrum.sum(axis=1)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2 + EPS
+    power = magnitude**2 + EPS
     band = power[:, (freq >= 300) & (freq <= 1000)].sum(axis=1) / power.sum(axis=1)
     voice = energy > np.percentile(energy, 60)
     rest = ~voice

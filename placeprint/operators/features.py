@@ -69,6 +69,19 @@ def clips_of(files: DataFrame, seconds: float = 5.0, profile: windows.Profile =
     return out.where(windows.audible_array(F.col("samples"), profile))
 
 
+def joined_clips_of(files: DataFrame, seconds: float = 5.0, profile: windows.Profile = windows.WIDE, normalise: bool = True, fade: bool = True) -> DataFrame:
+    """location, clip_index, samples, source_files, merged of decoded files(location, path, samples): windows of each
+    location's files one after another, as training cuts them.
+
+    Every file is peak-normalised by itself, seams are faded over 20 ms, the leftover of a location is dropped; silent
+    windows are left out but keep their index.
+    """
+    x = ingest_normalised(F.col("samples")) if normalise else F.col("samples")
+    known = files.where(F.col("samples").isNotNull()).withColumn("samples", x)
+    out = windows.joined_windows(known, int(seconds * dsp.RATE), dsp.RATE // 100 if fade else 0).withColumnRenamed("window", "clip_index")
+    return out.where(windows.audible_array(F.col("samples"), profile))
+
+
 def wide(clips: DataFrame, vector: str = "vector", n: int = 104) -> DataFrame:
     """Feature_1..Feature_n instead of the array."""
     return clips.select(*[c for c in clips.columns if c != vector], *[F.col(vector)[i].alias(f"Feature_{i + 1}") for i in range(n)])

@@ -18,8 +18,8 @@ from placeprint.operators import scoring
 
 #: Locations that the driver holds centres of.
 MAX_LOCATIONS = 10_000
-#: Clips of a location that may be listed to pick starting vectors; of larger ones a few are drawn by hash.
-SMALL_LOCATION = 4096
+#: Steps after which centres that still move are an error; Lloyd's algorithm settles long before.
+MAX_STEPS = 300
 
 
 def standardised(clips: DataFrame, train: DataFrame | None = None) -> DataFrame:
@@ -34,25 +34,21 @@ def baselines_of(n: int) -> int:
     return 1 if n < 6 else min(3, n // 6)
 
 
-def kmeans_by_location(clips: DataFrame, runs: int = 10, steps: int = 25, seed: int = 42) -> DataFrame:
+def kmeans_by_location(clips: DataFrame, runs: int = 10, steps: int = MAX_STEPS, seed: int = 42) -> DataFrame:
     """location, sub_id, centroid, size, inertia: the best of several runs of Lloyd's algorithm in every location at once.
 
-    Each step is one pass over all clips, in which Arrow batches put out sums for each location, run and centre; a
-    location of any size costs one partial sum a batch. The driver holds the centres only (bounded by MAX_LOCATIONS).
+    Runs start from the clips of least hash in each location, whatever its size; equal hashes go by clip_id. Each step is
+    one pass over all clips, in which Arrow batches put out sums for each location, run and centre; a location of any
+    size costs one partial sum a batch. The driver holds the centres only (bounded by MAX_LOCATIONS). Centres that have
+    not settled after so many steps raise.
     """
     spark = clips.sparkSession
-    counted = clips.groupBy("location").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).limit(MAX_LOCATIONS + 1).collect()
+    counted = clips.groupBy("location").agg(F.count("*").alias("n")).limit(MAX_LOCATIONS + 1).collect()
     if len(counted) > MAX_LOCATIONS:
         raise ValueError(f"more than {MAX_LOCATIONS} locations")
     if not counted:
         return spark.createDataFrame([], "location string, sub_id int, centroid array<double>, size long, inertia double")
-    most = 3 * runs
-    order = F.struct(F.xxhash64(F.lit(seed), "clip_id").alias("d"), "clip_id", "vector")
-    if max(r["n"] for r in counted) <= SMALL_LOCATION:
-        picked = clips.groupBy("location").agg(F.slice(F.array_sort(F.collect_list(order)), 1, most).alias("s"))
-        starts = {r["location"]: [np.array(x["vector"]) for x in r["s"]] for r in picked.collect()}
-    else:
-        starts = _drawn_starts(clips, counted, most, seed)
+    starts = _starts(clips, counted, 3 * runs, seed)
     centres = {}
     for r in counted:
         k, own = baselines_of(r["n"]), starts[r["location"]]
@@ -64,6 +60,8 @@ def kmeans_by_location(clips: DataFrame, runs: int = 10, steps: int = 25, seed:
             break
         centres |= new
         sums = _lloyd_sums(clips, centres)
+    else:
+        raise RuntimeError(f"centres haven't settled after {steps} steps")
     rows = []
     for loc, (_, n, inertia) in sorted(sums.items()):
         run = int(inertia.sum(axis=1).argmin())
@@ -71,14 +69,24 @@ def kmeans_by_location(clips: DataFrame, runs: int = 10, steps: int = 25, seed:
     return spark.createDataFrame(rows, "location string, sub_id int, centroid array<double>, size long, inertia double")
 
 
-def _drawn_starts(clips: DataFrame, counted: list, most: int, seed: int) -> dict:
-    """Starting vectors of large locations: a draw by hash that keeps about eight times as many as are needed."""
+def _starts(clips: DataFrame, counted: list, most: int, seed: int) -> dict:
+    """The clips of least hash of each location. Every Arrow batch puts out its own first ones, so that a location's rows
+    meet only as that many of each batch; eight times as many as are needed are let through before (small locations whole)."""
     share = F.create_map(*[x for r in counted for x in (F.lit(r["location"]), F.lit(min(1.0, 8 * most / r["n"])))])
-    d = F.pmod(F.xxhash64(F.lit(seed), "clip_id"), F.lit(1 << 40)) / float(1 << 40)
+    d = F.xxhash64(F.lit(seed), "clip_id")
+    drawn = clips.where(F.pmod(d, F.lit(1 << 40)) / float(1 << 40) < share[F.col("location")]).select("location", F.pmod(d, F.lit(1 << 40)).alias("d"), "clip_id", "vector")
+
+    def first(batches):
+        for b in batches:
+            yield b.sort_values(["location", "d", "clip_id"]).groupby("location", sort=False).head(most)
+
+    schema = drawn.schema
+    place = Window.partitionBy("location").orderBy("d", "clip_id")
+    rows = drawn.mapInPandas(first, schema).withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).orderBy("location", "place").collect()
     out: dict = {}
-    for r in clips.where(d < share[F.col("location")]).select("location", "vector").collect():
-        out.setdefault(r[0], []).append(np.array(r[1]))
-    return {loc: v[: 4 * most] for loc, v in out.items()}
+    for r in rows:
+        out.setdefault(r["location"], []).append(np.array(r["vector"]))
+    return out
 
 
 def _lloyd_sums(clips: DataFrame, centres: dict) -> dict:
@@ -139,9 +147,10 @@ def typical_rows(clustered: DataFrame, key: str = "clip_id") -> DataFrame:
     return clustered.groupBy("label").agg(F.min(F.struct("distance_to_centroid", key)).alias("m")).select("label", "m.*")
 
 
-def cluster_summary(clustered: DataFrame) -> DataFrame:
-    """label, n, mean_level, mean_distance."""
-    return clustered.groupBy("label").agg(F.count("*").alias("n"), F.avg("level").alias("mean_level"), F.avg("distance_to_centroid").alias("mean_distance"))
+def cluster_summary(clustered: DataFrame, features: tuple[str, ...] = ()) -> DataFrame:
+    """label, n, mean_level, mean_distance, and the mean of each of the features (mean_<name>)."""
+    means = [F.avg(f).alias(f"mean_{f}") for f in features]
+    return clustered.groupBy("label").agg(F.count("*").alias("n"), F.avg("level").alias("mean_level"), F.avg("distance_to_centroid").alias("mean_distance"), *means)
 
 
 def silhouettes(clips: DataFrame, queries: DataFrame, label: str = "location", block_rows: int = 5_000) -> DataFrame:
@@ -165,7 +174,8 @@ def silhouettes(clips: DataFrame, queries: DataFrame, label: str = "location", b
                 if not len(b):
                     continue
                 x = np.stack(b["vector"].map(np.asarray)).astype(np.float64)
-                d = np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0)) if len(x) * q.size < 20_000_000 else np.sqrt(np.maximum((q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1), 0))
+                step = max(1, 4_000_000 // max(q.size, 1))  # differences of so many clips fit 32 MB
+                d = np.concatenate([np.sqrt(((q[:, None, :] - x[None, i : i + step]) ** 2).sum(-1)) for i in range(0, len(x), step)], axis=1)
                 for name, at in b.reset_index(drop=True).groupby(label).groups.items():
                     yield pd.DataFrame({"clip_id": ids, label: name, "d": d[:, at].sum(axis=1), "n": len(at)})
 
@@ -214,6 +224,13 @@ def predicted(model, rows: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.array_max(vector_to_array("probability"))) if "probability" in out.columns else out
 
 
+def with_probabilities(model, rows: DataFrame, labels: list[str]) -> DataFrame:
+    """rows with predicted (a label) and probabilities (label to probability); labels in the order of their codes."""
+    names = F.array(*[F.lit(x) for x in labels])
+    out = model.transform(rows).withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1))
+    return out.withColumn("probabilities", F.map_from_arrays(names, vector_to_array("probability")))
+
+
 def leaderboard(train_rows: DataFrame, test_rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """model, accuracy, weighted_f1, best first."""
     rows = []

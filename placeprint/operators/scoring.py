@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeprint.functions import classify, vectors
+from placeprint.operators import joins
 
-#: Baselines that are broadcast as one matrix: numbers in it at most (16 MB). More are dealt in blocks of this size.
+#: Baselines that are broadcast as one matrix: numbers in it at most (16 MB). More make several matrices.
 MATRIX_NUMBERS = 2_000_000
 
 
@@ -65,26 +66,29 @@ def _scores(spark, names: list[str], matrix: np.ndarray):
     return unique, run
 
 
-def score(clips: DataFrame, baselines: DataFrame, *keys: str) -> DataFrame:
+def score(clips: DataFrame, baselines: DataFrame, *keys: str, matrix_numbers: int | None = None) -> DataFrame:
     """keys, base_location, score: the best cosine of each clip with any baseline of each location.
 
-    baselines has location and vector, one or more rows a location. They are counted first: a set of up to MATRIX_NUMBERS
-    numbers becomes one broadcast matrix, and each Arrow batch of clips one matrix product; a larger set meets the clips
-    in an ordinary join on a block number, and the best is taken after partial aggregation.
+    baselines has location and vector, one or more rows a location. They are counted first: a set of up to matrix_numbers
+    numbers becomes one broadcast matrix, and each Arrow batch of clips one matrix product. A larger set is dealt by hash
+    into matrices of that size: the clips pass each of them where they lie, and the best is taken after partial
+    aggregation. keys name a clip. Without baselines there are no rows.
     """
-    known = baselines.select("location", "vector")
+    known, matrix_numbers = baselines.select("location", "vector"), matrix_numbers or MATRIX_NUMBERS
     numbers = known.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
-    if not numbers:
-        return clips.select(*keys).limit(0).withColumn("base_location", F.lit("")).withColumn("score", F.lit(0.0))
-    if numbers <= MATRIX_NUMBERS:
-        rows = known.collect()
+    blocks, out = max(1, -(-numbers // matrix_numbers)), None
+    for block in range(blocks):
+        own = known if blocks == 1 else known.where(F.pmod(F.xxhash64("location", "vector"), F.lit(blocks)) == block)
+        rows = own.collect()
+        if not rows:
+            continue
         names, best = _scores(clips.sparkSession, [r[0] for r in rows], np.array([r[1] for r in rows]))
-        out = clips.select(*keys, F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("l"), best("vector").alias("s"))).alias("x"))
-        return out.select(*keys, F.col("x.l").alias("base_location"), F.col("x.s").alias("score"))
-    blocks = -(-numbers // MATRIX_NUMBERS)
-    left = clips.select(*keys, "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = known.select(F.col("location").alias("base_location"), F.col("vector").alias("base"), F.pmod(F.hash("location", "vector"), F.lit(blocks)).alias("block"))
-    return left.join(right, "block").groupBy(*keys, "base_location").agg(F.max(vectors.cosine(F.col("vector"), F.col("base"))).alias("score"))
+        part = clips.select(*keys, F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("l"), best("vector").alias("s"))).alias("x"))
+        part = part.select(*keys, F.col("x.l").alias("base_location"), F.col("x.s").alias("score"))
+        out = part if out is None else out.unionAll(part)
+    if out is None:
+        return clips.select(*keys).limit(0).withColumn("base_location", F.lit("")).withColumn("score", F.lit(0.0))
+    return out if blocks == 1 else out.groupBy(*keys, "base_location").agg(F.max("score").alias("score"))
 
 
 def best(scores: DataFrame, *keys: str, score_: str = "score", location: str = "base_location") -> DataFrame:
@@ -169,6 +173,32 @@ def predict_files(scores: DataFrame, files: DataFrame, thresholds: classify.Thre
     )
 
 
+def majority(votes: DataFrame, key: str, vote: str, order: str) -> DataFrame:
+    """key, match, share, windows: the most frequent vote of each key and its share; of equals, the one that comes first
+    in order."""
+    counted = votes.groupBy(key, vote).agg(F.count("*").alias("__n"), F.min(order).alias("__first"))
+    best_ = F.min(F.struct((-F.col("__n")).alias("n"), F.col("__first").alias("f"), F.col(vote).alias("v")))
+    out = counted.groupBy(key).agg(best_.alias("b"), F.sum("__n").alias("windows"))
+    return out.select(key, F.col("b.v").alias("match"), (-F.col("b.n") / F.col("windows")).alias("share"), "windows")
+
+
+def verification(scores: DataFrame, files: DataFrame, thresholds: classify.Thresholds, in_order: bool = False) -> DataFrame:
+    """The report of held-out files(file, location) from scores (file, window, base_location, score): expected_location,
+    num_windows, all_scores, best_match, best_score, best_status, expected_score, expected_status, correct_match, margin.
+
+    Files without a usable window, and those of locations that no baseline has, are left out.
+    """
+    rule = classify.drift_class_in_order if in_order else classify.drift_class
+    found = predict_files(scores, files, thresholds, in_order).where("num_windows > 0")
+    out = files.select("file", F.col("location").alias("expected_location")).join(found, "file")
+    out = out.withColumn("expected_score", F.try_element_at("avg_scores", F.col("expected_location"))).where("expected_score is not null")
+    expected = rule(F.col("expected_score"), F.lit(thresholds.stable), F.lit(thresholds.moderate))
+    return out.select(
+        "file", "expected_location", "num_windows", F.col("avg_scores").alias("all_scores"), F.col("final_match").alias("best_match"), F.col("final_score").alias("best_score"),
+        F.col("status").alias("best_status"), "expected_score", expected.alias("expected_status"), (F.col("final_match") == F.col("expected_location")).alias("correct_match"), "margin",
+    )
+
+
 def same_and_different(scores: DataFrame, own: Column) -> DataFrame:
     """Scores with the flag same: whether the base is the clip's own location."""
     return scores.withColumn("same", F.col("base_location") == own)
@@ -179,14 +209,20 @@ def population_stats(scores: DataFrame) -> DataFrame:
     return scores.groupBy("same").agg(F.avg("score").alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"), F.stddev_pop("score").alias("std"), F.count("*").alias("n"))
 
 
+def _sides(scores: DataFrame, same: list[float], different: list[float]) -> tuple[list[float | None], list[float | None]]:
+    """Percentiles (0 to 100) of the scores with the own location, and of those with others."""
+    return tuple(joins.percentiles(scores.where(side), "score", [p / 100 for p in some]) for side, some in ((F.col("same"), same), (~F.col("same"), different)))
+
+
 def calibrated(scores: DataFrame, stable_percentile: float = 10, moderate_percentile: float = 90, override_stable: float | None = None, override_moderate: float | None = None) -> DataFrame:
-    """stable_threshold, moderate_threshold, valid, manual_override: exact percentiles with linear interpolation."""
-    out = scores.agg(
-        F.percentile(F.when(F.col("same"), F.col("score")), F.lit(stable_percentile / 100)).alias("s"),
-        F.percentile(F.when(~F.col("same"), F.col("score")), F.lit(moderate_percentile / 100)).alias("m"),
-    )
-    out = out.select(F.coalesce(F.lit(override_stable).cast("double"), "s").alias("stable_threshold"), F.coalesce(F.lit(override_moderate).cast("double"), "m").alias("moderate_threshold"))
-    return out.select("*", (F.col("stable_threshold") > F.col("moderate_threshold")).alias("valid"), F.lit(override_stable is not None or override_moderate is not None).alias("manual_override"))
+    """stable_threshold, moderate_threshold, valid, manual_override: exact percentiles with linear interpolation.
+
+    One row, worked out at once; no task or buffer holds all scores (joins.percentiles).
+    """
+    (s,), (m,) = _sides(scores, [stable_percentile], [moderate_percentile])
+    s, m = (own if given is None else float(given) for own, given in ((s, override_stable), (m, override_moderate)))
+    row = (s, m, None if s is None or m is None else s > m, override_stable is not None or override_moderate is not None)
+    return scores.sparkSession.createDataFrame([row], "stable_threshold double, moderate_threshold double, valid boolean, manual_override boolean")
 
 
 #: Percentile pairs that are tried in turn.
@@ -195,25 +231,21 @@ CANDIDATES = ((10, 90), (15, 85), (20, 80), (25, 75), (30, 70), (35, 65), (40, 6
 
 def candidate_pairs(scores: DataFrame, pairs=CANDIDATES) -> DataFrame:
     """ordinal, low, high, stable, moderate, valid, chosen: every pair, the first valid one chosen."""
-    both = scores.agg(
-        F.percentile(F.when(F.col("same"), F.col("score")), F.array(*[F.lit(a / 100) for a, _ in pairs])).alias("s"),
-        F.percentile(F.when(~F.col("same"), F.col("score")), F.array(*[F.lit(b / 100) for _, b in pairs])).alias("m"),
-    )
-    listed = F.arrays_zip(F.array(*[F.lit(a) for a, _ in pairs]).alias("low"), F.array(*[F.lit(b) for _, b in pairs]).alias("high"), F.col("s").alias("stable"), F.col("m").alias("moderate"))
-    marked = F.transform(listed, lambda x: x["stable"] > x["moderate"])
-    rows = both.select(F.array_position(marked, F.lit(True)).alias("first"), F.posexplode(listed).alias("ordinal", "x"))
-    return rows.select("ordinal", "x.low", "x.high", "x.stable", "x.moderate", (F.col("x.stable") > F.col("x.moderate")).alias("valid"), (F.col("ordinal") + 1 == F.col("first")).alias("chosen"))
+    stable, moderate = _sides(scores, [a for a, _ in pairs], [b for _, b in pairs])
+    valid = [None if s is None or m is None else s > m for s, m in zip(stable, moderate)]
+    first = valid.index(True) if True in valid else None
+    rows = [(i, a, b, s, m, ok, i == first) for i, ((a, b), s, m, ok) in enumerate(zip(pairs, stable, moderate, valid))]
+    return scores.sparkSession.createDataFrame(rows, "ordinal int, low int, high int, stable double, moderate double, valid boolean, chosen boolean")
 
 
 def environment_thresholds(levels: DataFrame, label: str = "label", level: str = "level") -> DataFrame:
     """quiet_threshold (90th percentile of quiet), noisy_threshold (10th of noisy); raises if a label is missing or they cross."""
-    out = levels.agg(
-        F.percentile(F.when(F.col(label) == "quiet", F.col(level)), F.lit(0.9)).alias("quiet_threshold"), F.percentile(F.when(F.col(label) == "noisy", F.col(level)), F.lit(0.1)).alias("noisy_threshold")
-    )
-    bad = F.col("quiet_threshold").isNull() | F.col("noisy_threshold").isNull()
-    cross = F.col("quiet_threshold") >= F.col("noisy_threshold")
-    checked = F.when(bad, F.raise_error(F.lit("both quiet and noisy rows are needed"))).when(cross, F.raise_error(F.lit("quiet threshold isn't below noisy threshold"))).otherwise(F.col("quiet_threshold"))
-    return out.withColumn("quiet_threshold", checked.cast("double"))
+    (quiet,), (noisy,) = (joins.percentiles(levels.where(F.col(label) == name), level, [share]) for name, share in (("quiet", 0.9), ("noisy", 0.1)))
+    if quiet is None or noisy is None:
+        raise ValueError("both quiet and noisy rows are needed")
+    if quiet >= noisy:
+        raise ValueError("quiet threshold isn't below noisy threshold")
+    return levels.sparkSession.createDataFrame([(quiet, noisy)], "quiet_threshold double, noisy_threshold double")
 
 
 def ranked(df: DataFrame, by: list, *order) -> DataFrame:

@@ -176,7 +176,59 @@ def voice_split(levels: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, noise.alias("noise_floor_rms"), speech.alias("speech_rms"), (20 * F.log10((speech + 1e-10) / (noise + 1e-10))).alias("snr_estimate_db"), "zcr_mean", "zcr_std", (F.col("p")[2] - F.col("p")[1]).alias("energy_dynamic_range"))
 
 
+def seam_faded(samples: Column, before: Column, after: Column, half: int) -> Column:
+    """A file's samples faded at the seams with the files before and after it in a stream (their lengths; null: none), as
+    crossfade() does in long form."""
+    own, h = F.size(samples), F.lit(half)
+
+    def side(other: Column) -> tuple[Column, Column]:
+        a, b = F.least(own, h), F.least(other, h)
+        return a + b, F.least(a, b)
+
+    (n0, mid0), (n1, mid1) = side(before), side(after)
+
+    def gain(x: Column, i: Column) -> Column:
+        j = i - (own - mid1)
+        rise = F.when(before.isNotNull() & (n0 > 1) & (i < mid0), F.try_divide(i.cast("double"), n0 - 1)).otherwise(1.0)
+        fall = F.when(after.isNotNull() & (n1 > 1) & (j >= 0), 1.0 - F.try_divide(j.cast("double"), n1 - 1)).otherwise(1.0)
+        return (x * rise * fall).cast("float")
+
+    return F.transform(samples, gain)
+
+
+def joined_windows(files: DataFrame, size: int, half: int = 0, key: str = "location", path: str = "path", samples: str = "samples") -> DataFrame:
+    """key, window, samples, source_files, merged: the files of a key one after another by path, cut into windows of size
+    samples across their borders; the leftover at the end is dropped. half: samples faded on either side of each seam.
+
+    Only lengths are ordered by key. Each file is cut where it lies into the pieces of the windows that it reaches into;
+    pieces meet by window, so a task never holds more of a key than windows. Files without samples take no part;
+    source_files are the paths in order; files that share key and path follow one another in any order.
+    """
+    own = files.where(F.size(samples) > 0).select(F.col(key).alias("__key"), F.col(path).alias("__path"), F.size(samples).alias("__n"), F.col(samples).alias("__x"), F.monotonically_increasing_id().alias("__id"))
+    order = Window.partitionBy("__key").orderBy("__path", "__id")
+    lengths = own.select("__key", "__path", "__n", "__id")
+    total = F.sum("__n").over(Window.partitionBy("__key"))
+    lengths = lengths.select(
+        "__id", F.lag("__n").over(order).alias("__before"), F.lead("__n").over(order).alias("__after"), total.alias("__total"),
+        F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("__from"),
+    )
+    at = own.join(lengths, "__id")
+    at = at.withColumn("__x", seam_faded(F.col("__x"), F.col("__before"), F.col("__after"), half)) if half else at
+    first, last = F.floor(F.col("__from") / size), F.floor((F.col("__from") + F.col("__n") - 1) / size)
+    at = at.withColumn("window", F.explode(F.sequence(first, last))).where(F.col("window") < F.floor(F.col("__total") / size))
+    start = F.greatest(F.col("window") * size, "__from")
+    stop = F.least((F.col("window") + 1) * size, F.col("__from") + F.col("__n"))
+    piece = F.struct(start.alias("start"), F.col("__path").alias("path"), F.slice("__x", (start - F.col("__from") + 1).cast("int"), (stop - start).cast("int")).alias("x"))
+    out = at.groupBy("__key", "window").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    sources = F.array_distinct(F.transform("p", lambda x: x["path"]))
+    return out.select(F.col("__key").alias(key), "window", F.flatten(F.transform("p", lambda x: x["x"])).alias("samples"), sources.alias("source_files"), (F.size(sources) > 1).alias("merged"))
+
+
 def joined_sessions(files: DataFrame, session: Column, path: str = "path", samples: str = "samples", least: int = 2) -> DataFrame:
-    """session, clips, samples: the clips of sessions with at least so many, joined in order of their paths."""
+    """session, clips, samples: the clips of sessions with at least so many, joined in order of their paths.
+
+    A row is one session's recording, to be written as one file. Windows over sessions of any length are joined_windows()
+    with the session as key.
+    """
     by = files.select(session.alias("session"), F.struct(F.col(path).alias("path"), F.col(samples).alias("samples")).alias("s")).groupBy("session").agg(F.array_sort(F.collect_list("s")).alias("s"))
     return by.where(F.size("s") >= least).select("session", F.size("s").alias("clips"), F.flatten(F.transform("s", lambda x: x["samples"])).alias("samples"))

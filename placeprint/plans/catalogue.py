@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeprint.plans import files, flows, learning, scoring, sets, signals, streams  # noqa: F401  they register
+from placeprint.plans import evaluation, files, flows, learning, scoring, sets, signals, streams  # noqa: F401  they register
 from placeprint.plans.registry import ALL, Query
 
 

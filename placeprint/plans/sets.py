@@ -125,7 +125,15 @@ def duplicates_md5(spark, sf_dir):
     return diagnostics.duplicate_groups(_t(spark, sf_dir, "documents"), F.col("text").cast("binary"), "doc_id")
 
 
-@register("connected_components")
+@register(
+    "connected_components",
+    """WITH RECURSIVE m AS (SELECT DISTINCT l_orderkey AS member, l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR AS c FROM lineitem),
+firsts AS (SELECT c, min(member) AS f FROM m GROUP BY c), e AS (SELECT DISTINCT member AS a, f AS b FROM m JOIN firsts USING (c) WHERE member <> f),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(node, root) USING KEY (node) AS (SELECT DISTINCT member, member FROM m
+  UNION SELECT x.a, min(cc.root) FROM cc JOIN both_ways x ON x.b = cc.node JOIN recurring.cc AS old ON old.node = x.a WHERE cc.root < old.root GROUP BY x.a)
+SELECT node AS member, root AS "group" FROM cc""",
+)
 def connected_components(spark, sf_dir):
     """Customers that are linked by parts of their orders, over all line items; node = order, group = least order."""
     items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("member"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))

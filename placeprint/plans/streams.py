@@ -55,9 +55,14 @@ def stream_replay_dedupe(spark, sf_dir):
     return spark.read.parquet(table).select("user_id", "event_type", "date_bucket")
 
 
-@register("stream_sessions")
+@register(
+    "stream_sessions",
+    """WITH g AS (SELECT user_id, ts, event_id, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 2 HOURS) IS NOT TRUE AS opens FROM events),
+s AS (SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
 def stream_sessions(spark, sf_dir):
     """Sessions that are closed at the final watermark."""
     table, checkpoint = ingest.paths_for(spark, "sessions")
     ingest.run_available(ingest.sessions(_events(spark, sf_dir)), lambda b, i: b.write.mode("overwrite").parquet(f"{table}/batch={i}"), checkpoint)
-    return spark.read.parquet(table).select("user_id", "start", "n")
+    return spark.read.parquet(table).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,31 @@ def latest_run(runs: DataFrame, run: str = "run_id") -> DataFrame:
     return runs.join(runs.agg(F.max(run).alias(run)), run, "left_semi")
 
 
+def archive(spark: SparkSession, files: DataFrame, folder: str, retries: int = 5, delay: float = 0.5) -> DataFrame:
+    """path, moved_to: the files (path) of one batch, moved to a folder under names that aren't taken there.
+
+    A move that fails is tried again; where all tries fail the file stays and moved_to is null, which does no harm as
+    long as a ledger, not the folder, says what has been processed. The driver renames; nothing is copied.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    taken = spark.createDataFrame([(f.getPath().getName(),) for f in fs.listStatus(path(folder))], "name string")
+    rows = []
+    for r in archived_names(files.select("path"), taken).orderBy("path").collect():
+        to, moved = f"{folder}/{r['archived']}", False
+        for attempt in range(retries):
+            try:
+                moved = fs.rename(path(r["path"]), path(to))
+            except Py4JJavaError:
+                moved = False
+            if moved:
+                break
+            time.sleep(delay if attempt + 1 < retries else 0)
+        rows.append((r["path"], to if moved else None))
+    return spark.createDataFrame(rows, "path string, moved_to string")
+
+
 def archived_names(files: DataFrame, taken: DataFrame, path: str = "path") -> DataFrame:
     """Files with the name under which they go to the archive: their own, or with _1, _2, ... where that is taken.
 
@@ -103,6 +130,37 @@ def archived_names(files: DataFrame, taken: DataFrame, path: str = "path") -> Da
     return out.withColumn("archived", F.concat("__stem", F.when(place > 0, F.concat(F.lit("_"), place.cast("string"))).otherwise(""), "__ext")).drop("__stem", "__ext", "__free")
 
 
+class Versions:
+    """A table of which every write is a whole new version below root: v0, v1, ... A version counts once its mark v0.done
+    is there, so a write that was cut short is never read, and the next one replaces it."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def complete(self) -> list[int]:
+        """Numbers of the versions that count, in order."""
+        if not self.files.exists(self.path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in self.files.listStatus(self.path(self.root))]
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".done"))
+
+    def read(self) -> DataFrame | None:
+        there = self.complete()
+        return self.spark.read.parquet(f"{self.root}/v{there[-1]}") if there else None
+
+    def put(self, df: DataFrame) -> None:
+        """Write the next version and remove those before the last one, which readers may still have open."""
+        there = self.complete()
+        number = there[-1] + 1 if there else 0
+        df.write.mode("overwrite").parquet(f"{self.root}/v{number}")
+        self.files.create(self.path(f"{self.root}/v{number}.done"), True).close()
+        for old in there[:-1]:
+            self.files.delete(self.path(f"{self.root}/v{old}.done"), False)
+            self.files.delete(self.path(f"{self.root}/v{old}"), True)
+
+
 def save_model(model, path: str) -> None:
     """A fitted pipeline with all its stages."""
     model.write().overwrite().save(path)

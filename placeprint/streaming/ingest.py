@@ -67,37 +67,6 @@ def ingest(stream: DataFrame, table: str, key: str, checkpoint: str) -> DataFram
     return spark.read.parquet(table) if artifacts.exists(spark, table) else spark.createDataFrame([], stream.schema)
 
 
-class Versions:
-    """A table of which every write is a whole new version below root: v0, v1, ... A version counts once its mark v0.done
-    is there, so a write that was cut short is never read, and the next one replaces it."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.files = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def complete(self) -> list[int]:
-        """Numbers of the versions that count, in order."""
-        if not self.files.exists(self.path(self.root)):
-            return []
-        names = [f.getPath().getName() for f in self.files.listStatus(self.path(self.root))]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".done"))
-
-    def read(self) -> DataFrame | None:
-        there = self.complete()
-        return self.spark.read.parquet(f"{self.root}/v{there[-1]}") if there else None
-
-    def put(self, df: DataFrame) -> None:
-        """Write the next version and remove those before the last one, which readers may still have open."""
-        there = self.complete()
-        number = there[-1] + 1 if there else 0
-        df.write.mode("overwrite").parquet(f"{self.root}/v{number}")
-        self.files.create(self.path(f"{self.root}/v{number}.done"), True).close()
-        for old in there[:-1]:
-            self.files.delete(self.path(f"{self.root}/v{old}.done"), False)
-            self.files.delete(self.path(f"{self.root}/v{old}"), True)
-
-
 def upsert(stream: DataFrame, root: str, key: str, checkpoint: str, mode: str = "update") -> DataFrame:
     """Keep the last row of each key: every batch merges into a new version of the table below root.
 
@@ -105,7 +74,7 @@ def upsert(stream: DataFrame, root: str, key: str, checkpoint: str, mode: str =
     that runs again merges the same rows a second time, which changes nothing. A batch has each key once (as an
     aggregation's updates do); of repeats within a batch all stay.
     """
-    spark, table = stream.sparkSession, Versions(stream.sparkSession, root)
+    spark, table = stream.sparkSession, sinks.Versions(stream.sparkSession, root)
 
     def each(batch: DataFrame, number: int) -> None:
         last = table.read()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from placeprint.sources import sinks
 from placeprint.streaming import ingest
 
 
@@ -58,7 +59,7 @@ def test_upsert_goes_on_after_a_restart(spark, source):
 
 
 def test_a_version_that_was_cut_short_is_not_read(spark, tmp_path):
-    table = ingest.Versions(spark, str(tmp_path / "t"))
+    table = sinks.Versions(spark, str(tmp_path / "t"))
     assert table.read() is None and table.complete() == []
     for i in range(4):
         table.put(spark.createDataFrame([(i,)], "k long"))
