@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from placeprint.operators.graph import components
+from placeprint.operators.joins import split_join
 from placeprint.sources.shared import drop_written, new_path, written
 
-__all__ = ["BATCH_BYTES", "WORD", "bounded_batches", "components", "drop_written", "free_name", "new_path", "trim", "written"]
+__all__ = ["BATCH_BYTES", "WORD", "bounded_batches", "components", "drop_written", "free_name", "new_path", "split_join", "trim", "written"]
 
 #: Words are runs of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -70,10 +70,13 @@ def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's personal data and disclosing terms."""
+    """Every document's personal data and disclosing terms, what is done about the terms, and the digest of the text that
+    is left."""
     out = sanitise.find_private(_read(spark, sf_dir, "documents"))
     counts = [F.col("counts")[i].alias(f"n_{kind}") for i, kind in enumerate(sanitise.KINDS)]
-    return out.select("doc_id", *counts, "base_sha256", sanitise.span_text(F.col("spans")).alias("spans"))
+    done = [F.size(F.filter("spans.action", lambda x: x == action)).cast("long").alias(f"n_{action}d") for action in ("generalise", "remove")]
+    clean = F.coalesce(F.sha2(sanitise.redact()("whole", "spans"), 256), "sha")
+    return out.select("doc_id", *counts, "base_sha256", sanitise.span_text(F.col("spans")).alias("spans"), *done, clean.alias("clean_sha256"))
 
 
 _OP7_SQL = """
