@@ -8,6 +8,7 @@ estimated candidates. What is probed together is verified on all 64 bits.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -265,13 +266,29 @@ def _verify(tau: int):
     return run
 
 
-def _midpoints(batches):
-    """(mid, fp): each fingerprint and all that differ from it in one bit. Who shares one is within two bits."""
-    one = np.concatenate([[0], np.uint64(1) << np.arange(BITS, dtype=np.uint64)]).astype(np.uint64)
-    for b in batches:
-        for i in range(0, b.num_rows, 8192):
-            fps = b.column(0).slice(i, 8192).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array((fps.view(np.uint64)[:, None] ^ one).ravel().view(np.int64)), pa.array(np.repeat(fps, len(one)))], ["mid", "fp"])
+def masks(bits: int) -> np.ndarray:
+    """All words of at most so many one bits, by their number."""
+    one, out = np.uint64(1), [np.zeros(1, dtype=np.uint64)]
+    for n in range(1, bits + 1):
+        rows = np.array(list(itertools.combinations(range(BITS), n)), dtype=np.uint64)
+        out.append(np.bitwise_or.reduce(one << rows, axis=1))
+    return np.concatenate(out)
+
+
+def _midpoints(tau: int):
+    """(mid, fp, near): each fingerprint with all words within half of tau bits, rounded up; near: rounded down. Two
+    fingerprints are within tau bits exactly if they share a word that is near for one of them."""
+
+    def run(batches):
+        flips = masks((tau + 1) // 2)
+        near = np.bitwise_count(flips) <= tau // 2
+        for b in batches:
+            step = max(1, 500_000 // len(flips))
+            for i in range(0, b.num_rows, step):
+                fps = b.column(0).slice(i, step).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array((fps.view(np.uint64)[:, None] ^ flips).ravel().view(np.int64)), pa.array(np.repeat(fps, len(flips))), pa.array(np.tile(near, len(fps)))], ["mid", "fp", "near"])
+
+    return run
 
 
 def parts_for(n: int) -> int:
@@ -284,7 +301,8 @@ def links(fps: DataFrame, tau: int = 2, parts: int | None = None, bucket_rows: i
     """Edges (a, b) that connect exactly what links of at most tau bits connect among distinct fingerprints fps(fp).
 
     Stars within each bucket instead of all its pairs. A bucket with more than bucket_rows rows leaves this way: its
-    fingerprints are linked through midpoints one bit away (for tau = 2; at most 65 meet in one), 65 rows for each.
+    fingerprints are linked through the words around them within half of tau bits, which is exact and linear: 65 rows for
+    each at tau = 1 or 2 (as many meet at most in one word), 2081 at 3 or 4.
     """
     n = fps.count()
     parts = parts or parts_for(n)
@@ -298,12 +316,9 @@ def links(fps: DataFrame, tau: int = 2, parts: int | None = None, bucket_rows: i
     met = probes.join(full, ["part", "value"])
     some = met.where("not hot").select("part", "value", "fp", "home", "asks")
     some = some.repartition(*_width(fps, 3 * n), "part", "value").sortWithinPartitions("part", "value").mapInArrow(_verify(tau), "a long, b long")
-    if tau != 2:
-        if full.where("hot").limit(1).count():
-            raise ValueError("buckets of more than bucket_rows rows can be linked for tau = 2 only")
-        return some
-    mids = met.where("hot").select("fp").distinct().mapInArrow(_midpoints, "mid long, fp long")
-    stars = mids.join(mids.groupBy("mid").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "mid").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    mids = met.where("hot").select("fp").distinct().mapInArrow(_midpoints(tau), "mid long, fp long, near boolean")
+    centres = mids.groupBy("mid").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null").drop("n")
+    stars = mids.join(centres, "mid").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
     return some.unionAll(stars)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placeprint.llm import langid, lm, mixing, token_scan
+from placeprint.llm import langid, lm, mixing, simhash, token_scan
 
 
 @pytest.mark.parametrize("n", [1 << 12, 2 * 3 * 5 * 7 * 11, 2 * 1009])
@@ -102,3 +102,36 @@ def test_shards_asked_in_groups_give_the_same_scores(spark, sf_dir):
     assert scores[0] == scores[1] and len(scores[0]) == docs.count()
     nothing_deleted = [{tuple(r) for r in lm.score(docs.limit(30), held, F.lit(False), lm.Settings(block_bytes=9_000, shard_tokens=300, fan=fan)).collect()} for fan in (10**6, 2)]
     assert nothing_deleted[0] == nothing_deleted[1]
+
+
+@pytest.mark.parametrize("tau", [1, 2, 3, 4])
+def test_simhash_links_of_any_width_through_full_buckets(spark, tau):
+    rng = random.Random(tau)
+    fps = {rng.getrandbits(64) for _ in range(25)} | {rng.getrandbits(7) << 40 for _ in range(20)}
+    for f in list(fps)[:25]:
+        for _ in range(5):
+            f ^= 1 << rng.randrange(64)
+            fps.add(f)
+            for _ in range(rng.randrange(4)):
+                f ^= 1 << rng.randrange(64)
+            fps.add(f)
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    edges = [tuple(r) for r in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), tau=tau, bucket_rows=2).collect()]
+    far = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+
+    def groups(pairs):
+        root = {s: s for s in signed}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        out = {}
+        for s in signed:
+            out.setdefault(find(s), []).append(s)
+        return sorted(out.values())
+
+    assert groups(edges) == groups([(a, b) for i, a in enumerate(signed) for b in signed[:i] if far(a, b) <= tau])
