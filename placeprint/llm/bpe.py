@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placeprint.llm.common import bounded_batches, trim
+from placeprint.llm.common import bounded_batches, free_name, trim
 
 #: No pair, padding.
 NONE = np.int32(2**31 - 1)
@@ -200,7 +200,7 @@ def _vocabulary(key: tuple, shared) -> Vocabulary:
     return _known[key]
 
 
-def _encode_rows(key: tuple, shared, column: str):
+def _encode_rows(key: tuple, shared, column: str, name: str):
     """Rows with a struct of ids behind their columns, a few hundred at a time; what a task has learned goes with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def _encode_rows(key: tuple, shared, column: str):
                         pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(v.decode(x)).hexdigest() for x in ids], pa.string()),
                     ], ["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
-                    yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if b.schema.names[k] != column), made], [*(n for n in b.schema.names if n != column), "__made"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if b.schema.names[k] != column), made], [*(n for n in b.schema.names if n != column), name])
         finally:
             v.cache = {}
             trim()
@@ -246,7 +246,8 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", name:
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(read_ranks(path))
     carry = [c for c in (df.columns if carry is None else carry) if c != name]
-    rows = df.select(*carry, F.col(text).alias("__text"))
+    whole, out = free_name(df, "text"), free_name(df, "made")
+    rows = df.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias(whole))
     made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("__made", made)])
-    return rows.mapInArrow(_encode_rows(key, shared, "__text"), schema).withColumnRenamed("__made", name)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, made)])
+    return rows.mapInArrow(_encode_rows(key, shared, whole, out), schema).withColumnRenamed(out, name)

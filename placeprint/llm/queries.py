@@ -129,6 +129,18 @@ SELECT doc_id, source, ppm::BIGINT AS weight_ppm, epoch, md5('mix|' || s || '|'
 
 _OP4_SQL = f"SELECT doc_id, {_WORDS}::BIGINT AS n_tokens FROM documents"
 
+_OP9_SQL = """
+WITH RECURSIVE own AS (SELECT row_number() OVER () AS r, vec_id, label::VARCHAR AS label, embedding::DOUBLE[] AS v FROM embeddings),
+fit AS (SELECT r, vec_id, label, len(v) AS dim, v, sqrt(list_dot_product(v, v)) AS size FROM own
+        WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+near AS (SELECT a.r AS a, b.r AS b FROM fit a JOIN fit b ON a.label = b.label AND a.dim = b.dim AND a.r <> b.r
+         WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.93),
+cc(r, least) USING KEY (r) AS (SELECT r, vec_id FROM own
+  UNION SELECT near.a, min(cc.least) FROM cc JOIN near ON near.b = cc.r JOIN recurring.cc AS old ON old.r = near.a WHERE cc.least < old.least GROUP BY near.a)
+SELECT own.vec_id, (SELECT count(*) FROM near WHERE near.a = own.r)::BIGINT AS n_links, cc.least AS component_id, coalesce(own.vec_id = cc.least, false) AS kept
+FROM own JOIN cc USING (r)
+"""
+
 _QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -141,7 +153,7 @@ _QUERIES = {
     "op9_lattice": op9_lattice,
     "op10_sanitise": op10_sanitise,
 }
-_SQL: dict[str, str] = {"op2_mixing": _OP2_SQL, "op4_token_scan": _OP4_SQL, "op7_grace_dedup": _OP7_SQL}
+_SQL: dict[str, str] = {"op2_mixing": _OP2_SQL, "op4_token_scan": _OP4_SQL, "op7_grace_dedup": _OP7_SQL, "op9_lattice": _OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeprint.llm.common import bounded_batches, components, trim, written
+from placeprint.llm.common import bounded_batches, components, free_name, trim, written
 
 #: Rows that meet in one bucket at most; fuller buckets take the way by midpoints, which is exact and linear.
 BUCKET_ROWS = 512
@@ -362,7 +362,7 @@ def drop_near(df: DataFrame, width: int = 3, tau: int = 2, seed: int = 42, doc_i
     Rows without an id stay. Rows that share an id are one document here: they stay or go together. An empty table gives
     an empty one.
     """
-    found = near_dedup(df, width, tau, seed, doc_id, text)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    found, name = near_dedup(df, width, tau, seed, doc_id, text), free_name(df, "gone")
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(gone) if few else gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
+    return df.join(F.broadcast(gone) if few else gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
