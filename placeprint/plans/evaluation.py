@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placeprint.functions import vectors
+from placeprint.functions import classify, vectors
 from placeprint.operators import diagnostics, joins, learning, scoring, sets
 from placeprint.plans.registry import register
-from placeprint.plans.scoring import COS, LONG, SCORES, SOFT
+from placeprint.plans.scoring import BEST, COS, DRIFT, LONG, SCORES, SOFT, W
 from placeprint.sources import tables
 
 
@@ -131,3 +131,24 @@ def locations_without_baseline(spark, sf_dir):
     files = tables.table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("location")
     known = tables.table(spark, sf_dir, "supplier").where("s_acctbal > 8000").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("location").distinct()
     return sets.without_baseline(files, known).groupBy("location", "warning").agg(F.count("*").alias("files"))
+
+
+_ACTIONS = " ".join(f"WHEN '{status}' THEN '{action}'" for status, action in classify.ACTIONS.items())
+
+
+@register("drift_actions", f"WITH {BEST}, s AS (SELECT clip_id, {DRIFT.format(s='best_score', a=W.stable, b=W.moderate)} AS status FROM best) SELECT clip_id, status, CASE status {_ACTIONS} END AS action FROM s")
+def drift_actions(spark, sf_dir):
+    """What to do about every clip's class."""
+    clips = _clips(spark, sf_dir)
+    best = scoring.best(scoring.score(clips, scoring.mean_vectors(clips), "clip_id"), "clip_id")
+    status = classify.drift_class(F.col("best_score"), W.stable, W.moderate)
+    return best.select("clip_id", status.alias("status")).withColumn("action", classify.drift_action(F.col("status")))
+
+
+@register("ema_vectors", f"WITH {LONG}, mean AS (SELECT location, pos, avg(x) AS m FROM long GROUP BY ALL) SELECT clip_id, pos, round(0.95 * m + 0.05 * x, 6) AS x FROM long JOIN mean USING (location, pos)")
+def ema_vectors(spark, sf_dir):
+    """Each location's mean vector moved by one clip of its own, as a moved baseline for every clip."""
+    clips = _clips(spark, sf_dir)
+    mean = scoring.mean_vectors(clips).withColumnRenamed("vector", "mean")  # one row a location
+    moved = clips.join(F.broadcast(mean), "location").withColumn("vector", vectors.ema(F.col("mean"), F.col("vector")))
+    return scoring.long_form(moved, "clip_id").select("clip_id", "pos", F.round("x", 6).alias("x"))

@@ -199,3 +199,4 @@ def usable_records(spark, sf_dir):
     """Records with scores, of the latest run, that haven't been plotted."""
     latest, plotted = (artifacts.json_list(spark, _artifact(spark, x), name="file") for x in (["a.wav", "b.wav", "c.wav"], ["a.wav"]))
     return sets.usable(_records(spark), latest, plotted).select("file", "status")
+

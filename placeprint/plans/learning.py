@@ -8,7 +8,7 @@ from placeprint.operators import learning, sets
 from placeprint.plans.registry import register
 from placeprint.plans.scoring import LONG
 from placeprint.sources import sinks, tables
-from placeprint.sources.shared import new_path
+from placeprint.sources.shared import new_path, written
 
 
 def _clips(spark, sf_dir):
@@ -18,7 +18,7 @@ def _clips(spark, sf_dir):
 def _split(spark, sf_dir):
     at = sets.holdout(_clips(spark, sf_dir), "location", "clip_id")
     scaled = learning.standardised(at, at.where("not held_out"))
-    rows = learning.prepared(scaled)
+    rows = written(learning.prepared(scaled), "split-rows")
     return rows.where("not held_out"), rows.where("held_out")
 
 
@@ -91,7 +91,7 @@ def pca(spark, sf_dir):
 @register("cross_validation")
 def cross_validation(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
-    return learning.cross_validated(train.cache(), folds=5)
+    return learning.cross_validated(train, folds=5)
 
 
 @register("learning_curve")
@@ -109,4 +109,11 @@ def importance_top20(spark, sf_dir):
 @register("leaderboard")
 def leaderboard(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return learning.leaderboard(train.cache(), test.cache(), ("logistic", "tree", "forest"))
+    return learning.leaderboard(train, test, ("logistic", "tree", "forest"))
+
+
+@register("leaderboard_machines")
+def leaderboard_machines(spark, sf_dir):
+    """The linear and the kernel machine, and boosted trees, on clips of the first two locations."""
+    train, test = _split(spark, sf_dir)
+    return learning.leaderboard(train.where("label < 2"), test.where("label < 2"), ("svm", "kernel", "boosted"))

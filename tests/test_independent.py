@@ -216,3 +216,25 @@ def test_majority_and_verification(spark):
     got = {r["file"]: r for r in scoring.verification(scores, files, pair).collect()}
     assert set(got) == {"f", "g"} and got["f"]["correct_match"] and not got["g"]["correct_match"]
     assert (got["g"]["best_status"], got["g"]["expected_status"], got["g"]["expected_score"]) == ("MODERATE_DRIFT", "RELOCATION_OR_FRAUD", 0.4)
+
+
+def test_wav_files_and_kernel_features(spark, tmp_path):
+    x = (0.3 * np.sin(np.arange(800) / 7)).astype(np.float32).tolist()
+    clips = spark.createDataFrame([("a", 0, x), ("b", 12, x)], "location string, clip_index int, samples array<float>")
+    rows = sinks.write_wav(clips, str(tmp_path / "out")).collect()
+    assert sorted(r["path"].rsplit("/", 2)[-2:] for r in rows) == [["a", "a_0000.wav"], ["b", "b_0012.wav"]]
+    assert np.allclose(dsp.decode_wav((tmp_path / "out" / "b" / "b_0012.wav").read_bytes()), x, atol=2 / 32768)
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(6, 5))
+    got = learning.fourier_features(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "i int, vector array<double>"), dims=4000).orderBy("i").collect()
+    f = np.array([r["features"].toArray() for r in got])
+    want = np.exp(-((v[:, None] - v[None]) ** 2).sum(-1) / 5)
+    assert np.abs(f @ f.T - want).max() < 0.1
+
+
+def test_stage_times_are_kept_when_a_stage_fails():
+    seconds = {}
+    assert flows.in_stage(seconds, "fine", lambda: 5) == 5
+    with pytest.raises(ZeroDivisionError):
+        flows.in_stage(seconds, "broken", lambda: 1 / 0)
+    assert set(seconds) == {"fine", "broken"}
