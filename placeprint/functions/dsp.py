@@ -158,7 +158,10 @@ def features_104(x: np.ndarray, fmin: float = 0.0, fmax: float | None = None) ->
 
 
 #: Names of the nine environment features, in order.
-ENVIRONMENT = ("noise_floor_rms", "speech_rms", "snr_estimate_db", "spectral_flatness_mean", "spectral_centroid_mean", "zcr_mean", "zcr_std", "energy_dynamic_range", "band_energy_ratio_mean")
+ENVIRONMENT = (
+    "noise_floor_rms", "speech_rms", "snr_estimate_db", "spectral_flatness_mean", "spectral_centroid_mean", "zcr_mean", "zcr_std",
+    "energy_dynamic_range", "band_energy_ratio_mean",
+)
 
 
 def environment_features(x: np.ndarray, rate: int = RATE) -> np.ndarray:

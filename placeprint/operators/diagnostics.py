@@ -10,7 +10,9 @@ from placeprint.operators import scoring
 
 def coefficient_stats(long: DataFrame, *keys: str) -> DataFrame:
     """keys, mean, std (population), skew (biased; null without spread), p10, p90 of x."""
-    return long.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.skewness("x").alias("skew"), F.percentile("x", F.array(F.lit(0.1), F.lit(0.9))).alias("p")).select(*keys, "mean", "std", "skew", F.col("p")[0].alias("p10"), F.col("p")[1].alias("p90"))
+    return long.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.skewness("x").alias("skew"), F.percentile("x", F.array(F.lit(0.1), F.lit(0.9))).alias("p")).select(
+        *keys, "mean", "std", "skew", F.col("p")[0].alias("p10"), F.col("p")[1].alias("p90"),
+    )
 
 
 def fisher_scores(clips: DataFrame, label: str = "location") -> DataFrame:
@@ -35,18 +37,25 @@ def own_and_other(scores: DataFrame, *keys: str) -> DataFrame:
     own = F.max(F.when(F.col("location") == F.col("base_location"), F.col("score")))
     other = F.min(F.when(F.col("location") != F.col("base_location"), F.struct((-F.col("score")).alias("s"), F.col("base_location").alias("l"))))
     out = scores.groupBy(*keys, "location").agg(own.alias("own_score"), other.alias("o"))
-    return out.select(*keys, "location", "own_score", F.col("o.l").alias("other_location"), (-F.col("o.s")).alias("other_score")).withColumn("wrong", F.col("own_score") < F.col("other_score"))
+    return out.select(*keys, "location", "own_score", F.col("o.l").alias("other_location"), (-F.col("o.s")).alias("other_score")).withColumn(
+        "wrong", F.col("own_score") < F.col("other_score"),
+    )
 
 
 def by_location(own: DataFrame) -> DataFrame:
     """location, clips, mean, min, max of own scores, worst_confusion."""
-    return own.groupBy("location").agg(F.count("*").alias("clips"), F.avg("own_score").alias("mean"), F.min("own_score").alias("min"), F.max("own_score").alias("max"), F.max("other_score").alias("worst_confusion"))
+    return own.groupBy("location").agg(
+        F.count("*").alias("clips"), F.avg("own_score").alias("mean"), F.min("own_score").alias("min"), F.max("own_score").alias("max"),
+        F.max("other_score").alias("worst_confusion"),
+    )
 
 
 def spectrum(clips: DataFrame, top_hz: float = 8000.0) -> DataFrame:
     """clip_id, pos, freq, s: absolute vector entries as a spectrum over 0..top_hz."""
     n = F.size("vector")
-    return clips.select("clip_id", n.alias("n"), F.posexplode("vector").alias("pos", "x")).select("clip_id", "pos", (F.col("pos") * top_hz / (F.col("n") - 1)).alias("freq"), (F.abs("x") + 1e-10).alias("s"))
+    return clips.select("clip_id", n.alias("n"), F.posexplode("vector").alias("pos", "x")).select(
+        "clip_id", "pos", (F.col("pos") * top_hz / (F.col("n") - 1)).alias("freq"), (F.abs("x") + 1e-10).alias("s"),
+    )
 
 
 def confusion(predicted: DataFrame) -> DataFrame:
@@ -54,22 +63,40 @@ def confusion(predicted: DataFrame) -> DataFrame:
     return predicted.groupBy("actual", "predicted").agg(F.count("*").alias("n"))
 
 
+def _both_sides() -> Column:
+    """A cell of the confusion matrix under both its labels: struct(label, t, p) with its count as true and as predicted."""
+    none = F.lit(0).cast("long")
+    true = F.struct(F.col("actual").alias("label"), F.col("n").alias("t"), none.alias("p"))
+    return F.explode(F.array(true, F.struct(F.col("predicted").alias("label"), none.alias("t"), F.col("n").alias("p"))))
+
+
 def class_report(matrix: DataFrame) -> DataFrame:
     """label, precision, recall, f1, support of every actual label; 0 where a quotient isn't defined."""
-    sides = matrix.select(F.explode(F.array(F.struct(F.col("actual").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p")), F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p")))).alias("s"), F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit"))
+    sides = matrix.select(
+        _both_sides().alias("s"),
+        F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit"),
+    )
     c = sides.groupBy("s.label").agg((F.sum("hit") / 2).alias("tp"), F.sum("s.p").alias("p"), F.sum("s.t").alias("support")).where("support > 0")
     q = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return c.select("label", q(F.col("tp"), F.col("p")).alias("precision"), q(F.col("tp"), F.col("support")).alias("recall"), q(2 * F.col("tp"), F.col("p") + F.col("support")).alias("f1"), "support")
+    return c.select(
+        "label", q(F.col("tp"), F.col("p")).alias("precision"), q(F.col("tp"), F.col("support")).alias("recall"),
+        q(2 * F.col("tp"), F.col("p") + F.col("support")).alias("f1"), "support",
+    )
 
 
 def agreement(matrix: DataFrame) -> DataFrame:
     """accuracy, Cohen's kappa and Matthews' coefficient, closed forms over the confusion counts."""
     n, ok = F.sum("n").cast("double"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).cast("double")
     whole = matrix.agg(n.alias("n"), ok.alias("ok"))
-    labels = matrix.select(F.explode(F.array(F.struct(F.col("actual").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p")), F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p")))).alias("s")).groupBy("s.label").agg(F.sum("s.t").cast("double").alias("t"), F.sum("s.p").cast("double").alias("p"))
+    labels = matrix.select(_both_sides().alias("s")).groupBy("s.label").agg(
+        F.sum("s.t").cast("double").alias("t"), F.sum("s.p").cast("double").alias("p"),
+    )
     sums = labels.agg(F.sum(F.col("t") * F.col("p")).alias("tp"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("p") * F.col("p")).alias("pp"))
     n, ok, tp, tt, pp = map(F.col, ("n", "ok", "tp", "tt", "pp"))
-    return whole.crossJoin(sums).select((ok / n).alias("accuracy"), F.try_divide(ok / n - tp / (n * n), 1 - tp / (n * n)).alias("kappa"), F.try_divide(ok * n - tp, F.sqrt((n * n - pp) * (n * n - tt))).alias("mcc"))
+    return whole.crossJoin(sums).select(
+        (ok / n).alias("accuracy"), F.try_divide(ok / n - tp / (n * n), 1 - tp / (n * n)).alias("kappa"),
+        F.try_divide(ok * n - tp, F.sqrt((n * n - pp) * (n * n - tt))).alias("mcc"),
+    )
 
 
 def soft_max(scores: DataFrame, sharpness: float = 10.0, *keys: str) -> DataFrame:
@@ -89,7 +116,10 @@ def log_loss_and_auc(probabilities: DataFrame) -> DataFrame:
     hit = F.col("location") == F.col("base_location")
     steps = probabilities.groupBy("base_location", "p").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
     steps = running_sum(steps, "base_location", "p", "neg", "below")
-    area = steps.groupBy("base_location").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("a"), F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg"))
+    area = steps.groupBy("base_location").agg(
+        F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("a"), F.sum("pos").cast("double").alias("pos"),
+        F.sum("neg").cast("double").alias("neg"),
+    )
     return loss.crossJoin(area.agg(F.avg(F.try_divide(F.col("a"), F.col("pos") * F.col("neg"))).alias("auc")))
 
 
@@ -131,7 +161,9 @@ def profile(df: DataFrame) -> DataFrame:
     aggs = [f(F.col(c)).cast("double").alias(f"{c}:{n}") for c in names for n, f in (("n", F.count), ("nulls", lambda x: F.count_if(x.isNull())), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
     row = df.agg(*aggs)
     stats = ("n", "nulls", "mean", "std", "min", "max")
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}:{s}`").alias(s) for s in stats]) for c in names])).alias("x")).select("x.column", F.col("x.n").cast("long").alias("n"), F.col("x.nulls").cast("long").alias("nulls"), "x.mean", "x.std", "x.min", "x.max")
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}:{s}`").alias(s) for s in stats]) for c in names])).alias("x")).select(
+        "x.column", F.col("x.n").cast("long").alias("n"), F.col("x.nulls").cast("long").alias("nulls"), "x.mean", "x.std", "x.min", "x.max",
+    )
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -146,7 +178,10 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     counted = df.where(c.isNotNull()).crossJoin(F.broadcast(ends)).select(F.least(F.floor(F.coalesce(F.try_divide((c - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(bins - 1)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
     every = ends.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     step = (F.col("hi") - F.col("lo")) / bins
-    return every.join(counted, "bin", "left").select("bin", (F.col("lo") + step * F.col("bin")).alias("low"), (F.col("lo") + step * (F.col("bin") + 1)).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+    return every.join(counted, "bin", "left").select(
+        "bin", (F.col("lo") + step * F.col("bin")).alias("low"), (F.col("lo") + step * (F.col("bin") + 1)).alias("high"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+    )
 
 
 def correlations(df: DataFrame, names: list[str]) -> DataFrame:

@@ -184,10 +184,14 @@ def silhouettes(clips: DataFrame, queries: DataFrame, label: str = "location", b
         out = part if out is None else out.unionAll(part)
     if out is None:
         return spark.createDataFrame([], "clip_id long, silhouette double")
-    sums = out.groupBy("clip_id", F.col(label).alias("other")).agg(F.sum("d").alias("d"), F.sum("n").alias("n")).join(queries.select("clip_id", F.col(label).alias("own")), "clip_id")
+    sums = out.groupBy("clip_id", F.col(label).alias("other")).agg(F.sum("d").alias("d"), F.sum("n").alias("n")).join(
+        queries.select("clip_id", F.col(label).alias("own")), "clip_id",
+    )
     a = F.max(F.when(F.col("own") == F.col("other"), F.try_divide(F.col("d"), F.col("n") - 1)))
     b = F.min(F.when(F.col("own") != F.col("other"), F.col("d") / F.col("n")))
-    return sums.groupBy("clip_id").agg(a.alias("a"), b.alias("b")).select("clip_id", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
+    return sums.groupBy("clip_id").agg(a.alias("a"), b.alias("b")).select(
+        "clip_id", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"),
+    )
 
 
 def balanced(rows: DataFrame, label: str = "label") -> DataFrame:

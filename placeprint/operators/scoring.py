@@ -99,7 +99,10 @@ def best(scores: DataFrame, *keys: str, score_: str = "score", location: str = "
     rank = F.struct((-F.col(score_)).alias("s"), F.col(location).alias("l"))
     top = scores.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(rank)), 1, 2).alias("top"))
     first = F.col("top")[0]
-    return top.select(*keys, first["l"].alias("best_location"), (-first["s"]).alias("best_score"), F.when(F.size("top") > 1, F.try_element_at("top", F.lit(2))["s"] - first["s"]).alias("margin"))
+    return top.select(
+        *keys, first["l"].alias("best_location"), (-first["s"]).alias("best_score"),
+        F.when(F.size("top") > 1, F.try_element_at("top", F.lit(2))["s"] - first["s"]).alias("margin"),
+    )
 
 
 def matrix(scores: DataFrame, key: str, locations: list[str]) -> DataFrame:
@@ -144,7 +147,9 @@ def nearest(clips: DataFrame, queries: DataFrame, block_rows: int = 20_000, key:
     if out is None:
         return spark.createDataFrame([], f"{key} long, nearest_id long, nearest_location string, similarity double")
     order = F.struct((-F.col("similarity")).alias("s"), F.col("nearest_id").alias("n"), F.col("nearest_location").alias("l"))
-    return out.groupBy(key).agg(F.min(order).alias("m")).select(key, F.col("m.n").alias("nearest_id"), F.col("m.l").alias("nearest_location"), (-F.col("m.s")).alias("similarity"))
+    return out.groupBy(key).agg(F.min(order).alias("m")).select(
+        key, F.col("m.n").alias("nearest_id"), F.col("m.l").alias("nearest_location"), (-F.col("m.s")).alias("similarity"),
+    )
 
 
 def predict_files(scores: DataFrame, files: DataFrame, thresholds: classify.Thresholds, in_order: bool = False, low_windows: int = 2) -> DataFrame:
@@ -164,7 +169,10 @@ def predict_files(scores: DataFrame, files: DataFrame, thresholds: classify.Thre
     top = best(mean, "file")
     rule = classify.drift_class_in_order if in_order else classify.drift_class
     out = files.select("file").join(maps, "file", "left").join(top, "file", "left").withColumn("num_windows", F.coalesce("num_windows", F.lit(0)))
-    out = out.withColumn("status", F.when(F.col("num_windows") == 0, "REJECTED_LOW_QUALITY").otherwise(rule(F.col("best_score"), F.lit(thresholds.stable), F.lit(thresholds.moderate))))
+    out = out.withColumn(
+        "status",
+        F.when(F.col("num_windows") == 0, "REJECTED_LOW_QUALITY").otherwise(rule(F.col("best_score"), F.lit(thresholds.stable), F.lit(thresholds.moderate))),
+    )
     verdict = F.when(F.col("num_windows") > 0, classify.open_set(F.col("status"), F.col("best_location")))
     return out.select(
         "file", "num_windows", "avg_scores", "vote_counts", F.col("best_location").alias("final_match"), F.col("best_score").alias("final_score"), "status", verdict.alias("location_verdict"),
@@ -206,7 +214,10 @@ def same_and_different(scores: DataFrame, own: Column) -> DataFrame:
 
 def population_stats(scores: DataFrame) -> DataFrame:
     """same, mean, min, max, std (population), n."""
-    return scores.groupBy("same").agg(F.avg("score").alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"), F.stddev_pop("score").alias("std"), F.count("*").alias("n"))
+    return scores.groupBy("same").agg(
+        F.avg("score").alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"), F.stddev_pop("score").alias("std"),
+        F.count("*").alias("n"),
+    )
 
 
 def _sides(scores: DataFrame, same: list[float], different: list[float]) -> tuple[list[float | None], list[float | None]]:

@@ -65,8 +65,12 @@ def holdout(files: DataFrame, label: str, key: str, share: float = 0.2, seed: in
     before = Window.partitionBy(label).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(label)))
     bins = bins.withColumn("want", F.greatest(F.lit(1), F.bround(F.lit(share) * F.col("total")).cast("long")))
-    cut = bins.where("before < want and want <= before + n").select(F.col(label).alias("__label"), F.col("__bin").alias("cut_bin"), (F.col("want") - F.col("before")).alias("rest"))
-    inside = at.join(cut, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__bin") == F.col("cut_bin"))).withColumn("__r", F.row_number().over(Window.partitionBy("__label").orderBy("__d", key)))
+    cut = bins.where("before < want and want <= before + n").select(
+        F.col(label).alias("__label"), F.col("__bin").alias("cut_bin"), (F.col("want") - F.col("before")).alias("rest"),
+    )
+    inside = at.join(cut, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__bin") == F.col("cut_bin"))).withColumn(
+        "__r", F.row_number().over(Window.partitionBy("__label").orderBy("__d", key)),
+    )
     last = inside.where("__r = rest").select("__label", F.struct("__d", key).alias("__cut"))
     out = at.join(last, F.col(label).eqNullSafe(F.col("__label")))
     return out.withColumn("held_out", F.struct("__d", key) <= F.col("__cut")).drop("__d", "__bin", "__label", "__cut")

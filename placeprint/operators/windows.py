@@ -62,7 +62,9 @@ def merged(signal: DataFrame, size: int, key: str = "stream", file: str = "file"
     """Samples with gpos (position in the stream of files joined by name) and window; the leftover at the end is dropped."""
     offsets = file_offsets(signal, key, file)
     total = offsets.groupBy(key).agg(F.sum("length").alias("__total"))
-    at = signal.join(offsets.join(total, key), [key, file]).withColumn("gpos", F.col("offset") + F.col(pos)).withColumn("window", F.floor((F.col("offset") + F.col(pos)) / size))
+    at = signal.join(offsets.join(total, key), [key, file]).withColumn("gpos", F.col("offset") + F.col(pos)).withColumn(
+        "window", F.floor((F.col("offset") + F.col(pos)) / size),
+    )
     return at.where(F.col("window") < F.floor(F.col("__total") / size)).drop("__total", "offset", "length")
 
 
@@ -105,7 +107,10 @@ def silent(rms: Column, quiet: Column, profile: Profile = WIDE) -> Column:
 def loudness(samples: DataFrame, *keys: str, profile: Profile = WIDE) -> DataFrame:
     """keys, n, rms, peak, quiet: quiet is the share of samples below the profile's level."""
     x = F.col("sample")
-    return samples.groupBy(*keys).agg(F.count("*").alias("n"), F.sqrt(F.avg(x * x)).alias("rms"), F.max(F.abs(x)).alias("peak"), F.avg((F.abs(x) < profile.quiet_level).cast("double")).alias("quiet"))
+    return samples.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sqrt(F.avg(x * x)).alias("rms"), F.max(F.abs(x)).alias("peak"),
+        F.avg((F.abs(x) < profile.quiet_level).cast("double")).alias("quiet"),
+    )
 
 
 def audible(samples: DataFrame, *keys: str, profile: Profile = WIDE) -> DataFrame:
@@ -160,7 +165,9 @@ def frame_levels(framed: DataFrame, size: int, *keys: str) -> DataFrame:
     """keys, frame, energy (root of the mean square plus 1e-10), zcr (sign changes over neighbours, 0 counts as plus)."""
     sign = F.when(F.col("sample") >= 0, 1).otherwise(-1)
     change = F.abs(sign - F.lag(sign).over(Window.partitionBy(*keys, "frame").orderBy("frame_pos")))
-    return framed.withColumn("__c", change).groupBy(*keys, "frame").agg(F.sqrt(F.sum(F.col("sample") * F.col("sample")) / size + 1e-10).alias("energy"), (F.avg("__c") / 2).alias("zcr"))
+    return framed.withColumn("__c", change).groupBy(*keys, "frame").agg(
+        F.sqrt(F.sum(F.col("sample") * F.col("sample")) / size + 1e-10).alias("energy"), (F.avg("__c") / 2).alias("zcr"),
+    )
 
 
 def voice_split(levels: DataFrame, *keys: str) -> DataFrame:
@@ -173,7 +180,11 @@ def voice_split(levels: DataFrame, *keys: str) -> DataFrame:
         F.avg("zcr").alias("zcr_mean"), F.stddev_pop("zcr").alias("zcr_std"), F.any_value("p").alias("p"),
     )
     noise, speech = F.coalesce("n", "a"), F.coalesce("s", "a")
-    return out.select(*keys, noise.alias("noise_floor_rms"), speech.alias("speech_rms"), (20 * F.log10((speech + 1e-10) / (noise + 1e-10))).alias("snr_estimate_db"), "zcr_mean", "zcr_std", (F.col("p")[2] - F.col("p")[1]).alias("energy_dynamic_range"))
+    return out.select(
+        *keys, noise.alias("noise_floor_rms"), speech.alias("speech_rms"),
+        (20 * F.log10((speech + 1e-10) / (noise + 1e-10))).alias("snr_estimate_db"), "zcr_mean", "zcr_std",
+        (F.col("p")[2] - F.col("p")[1]).alias("energy_dynamic_range"),
+    )
 
 
 def seam_faded(samples: Column, before: Column, after: Column, half: int) -> Column:
@@ -204,7 +215,10 @@ def joined_windows(files: DataFrame, size: int, half: int = 0, key: str = "locat
     pieces meet by window, so a task never holds more of a key than windows. Files without samples take no part;
     source_files are the paths in order; files that share key and path follow one another in any order.
     """
-    own = files.where(F.size(samples) > 0).select(F.col(key).alias("__key"), F.col(path).alias("__path"), F.size(samples).alias("__n"), F.col(samples).alias("__x"), F.monotonically_increasing_id().alias("__id"))
+    own = files.where(F.size(samples) > 0).select(
+        F.col(key).alias("__key"), F.col(path).alias("__path"), F.size(samples).alias("__n"), F.col(samples).alias("__x"),
+        F.monotonically_increasing_id().alias("__id"),
+    )
     order = Window.partitionBy("__key").orderBy("__path", "__id")
     lengths = own.select("__key", "__path", "__n", "__id")
     total = F.sum("__n").over(Window.partitionBy("__key"))
@@ -221,7 +235,10 @@ def joined_windows(files: DataFrame, size: int, half: int = 0, key: str = "locat
     piece = F.struct(start.alias("start"), F.col("__path").alias("path"), F.slice("__x", (start - F.col("__from") + 1).cast("int"), (stop - start).cast("int")).alias("x"))
     out = at.groupBy("__key", "window").agg(F.array_sort(F.collect_list(piece)).alias("p"))
     sources = F.array_distinct(F.transform("p", lambda x: x["path"]))
-    return out.select(F.col("__key").alias(key), "window", F.flatten(F.transform("p", lambda x: x["x"])).alias("samples"), sources.alias("source_files"), (F.size(sources) > 1).alias("merged"))
+    return out.select(
+        F.col("__key").alias(key), "window", F.flatten(F.transform("p", lambda x: x["x"])).alias("samples"), sources.alias("source_files"),
+        (F.size(sources) > 1).alias("merged"),
+    )
 
 
 def joined_sessions(files: DataFrame, session: Column, path: str = "path", samples: str = "samples", least: int = 2) -> DataFrame:

@@ -72,7 +72,10 @@ def _labelled(spark, sf_dir):
     mean = scoring.mean_vectors(clips).withColumnRenamed("vector", "mean")  # one row a location
     diff = F.zip_with("vector", "mean", lambda a, b: (a - b) * (a - b))
     at = clips.join(F.broadcast(mean), "location").withColumn("distance_to_centroid", F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, x: s + x)))
-    return at.select("clip_id", F.col("location").alias("label"), F.col("vector")[0].alias("level"), "distance_to_centroid", *[F.col("vector")[i].alias(n) for i, n in enumerate(_NINE)])
+    return at.select(
+        "clip_id", F.col("location").alias("label"), F.col("vector")[0].alias("level"), "distance_to_centroid",
+        *[F.col("vector")[i].alias(n) for i, n in enumerate(_NINE)],
+    )
 
 
 _LABELLED = f"""{LONG}, mean AS (SELECT location, list(m ORDER BY pos) AS mean FROM (SELECT location, pos, avg(x) AS m FROM long GROUP BY ALL) GROUP BY ALL),
@@ -91,7 +94,11 @@ def label_summary(spark, sf_dir):
     return out.select("label", "n", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
-@register("typical_clip", f"WITH {_LABELLED} SELECT label, round(d, 6) AS distance, clip_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, clip_id) AS rn FROM labelled) WHERE rn = 1")
+@register(
+    "typical_clip",
+    f"WITH {_LABELLED} SELECT label, round(d, 6) AS distance, clip_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, clip_id) AS rn "
+    "FROM labelled) WHERE rn = 1",
+)
 def typical_clip(spark, sf_dir):
     """The clip nearest to its label's centre."""
     return learning.typical_rows(_labelled(spark, sf_dir)).select("label", F.round("distance_to_centroid", 6).alias("distance"), "clip_id")
@@ -136,7 +143,11 @@ def locations_without_baseline(spark, sf_dir):
 _ACTIONS = " ".join(f"WHEN '{status}' THEN '{action}'" for status, action in classify.ACTIONS.items())
 
 
-@register("drift_actions", f"WITH {BEST}, s AS (SELECT clip_id, {DRIFT.format(s='best_score', a=W.stable, b=W.moderate)} AS status FROM best) SELECT clip_id, status, CASE status {_ACTIONS} END AS action FROM s")
+@register(
+    "drift_actions",
+    f"WITH {BEST}, s AS (SELECT clip_id, {DRIFT.format(s='best_score', a=W.stable, b=W.moderate)} AS status FROM best) SELECT clip_id, status, CASE status {_ACTIONS} END "
+    "AS action FROM s",
+)
 def drift_actions(spark, sf_dir):
     """What to do about every clip's class."""
     clips = _clips(spark, sf_dir)
@@ -145,7 +156,11 @@ def drift_actions(spark, sf_dir):
     return best.select("clip_id", status.alias("status")).withColumn("action", classify.drift_action(F.col("status")))
 
 
-@register("ema_vectors", f"WITH {LONG}, mean AS (SELECT location, pos, avg(x) AS m FROM long GROUP BY ALL) SELECT clip_id, pos, round(0.95 * m + 0.05 * x, 6) AS x FROM long JOIN mean USING (location, pos)")
+@register(
+    "ema_vectors",
+    f"WITH {LONG}, mean AS (SELECT location, pos, avg(x) AS m FROM long GROUP BY ALL) SELECT clip_id, pos, round(0.95 * m + 0.05 * x, 6) AS x "
+    "FROM long JOIN mean USING (location, pos)",
+)
 def ema_vectors(spark, sf_dir):
     """Each location's mean vector moved by one clip of its own, as a moved baseline for every clip."""
     clips = _clips(spark, sf_dir)

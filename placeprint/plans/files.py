@@ -72,12 +72,20 @@ def scan_layouts(spark, sf_dir):
     return out
 
 
-@register("route_by_extension", f"WITH {_FILES} SELECT CASE WHEN lower(name) LIKE '%.wav' THEN 'wide' WHEN lower(name) LIKE '%.amr' THEN 'narrow' ELSE 'unsupported' END AS profile, count(*) AS n FROM files GROUP BY 1")
+@register(
+    "route_by_extension",
+    f"WITH {_FILES} SELECT CASE WHEN lower(name) LIKE '%.wav' THEN 'wide' WHEN lower(name) LIKE '%.amr' THEN 'narrow' ELSE 'unsupported' END AS profile, count(*) AS n "
+    "FROM files GROUP BY 1",
+)
 def route_by_extension(spark, sf_dir):
     return audio.routed(audio.scan_files(spark, folder(spark))).groupBy("profile").agg(F.count("*").alias("n"))
 
 
-@register("decode_audio", f"WITH {_FILES} SELECT folder AS location, name, CASE WHEN seconds IS NULL THEN NULL ELSE seconds * 16000 END::INT AS n, seconds IS NULL AS failed FROM recordings")
+@register(
+    "decode_audio",
+    f"WITH {_FILES} SELECT folder AS location, name, CASE WHEN seconds IS NULL THEN NULL ELSE seconds * 16000 END::INT AS n, seconds IS NULL AS failed "
+    "FROM recordings",
+)
 def decode_audio(spark, sf_dir):
     """Samples of each file, or why there are none."""
     d = audio.decoded(audio.scan_locations(spark, folder(spark)))
@@ -91,7 +99,9 @@ def _clips(spark, **kw):
 @register("mfcc_104")
 def mfcc_104(spark, sf_dir):
     c = _clips(spark).withColumn("vector", features.features_104(features.preprocess(F.col("samples"))))
-    return scoring.long_form(c, "location", "path", "clip_index").select("location", paths.basename(F.col("path")).alias("name"), "clip_index", "pos", F.round("x", 4).alias("x"))
+    return scoring.long_form(c, "location", "path", "clip_index").select(
+        "location", paths.basename(F.col("path")).alias("name"), "clip_index", "pos", F.round("x", 4).alias("x"),
+    )
 
 
 @register("env_9_features")
@@ -100,10 +110,17 @@ def env_9_features(spark, sf_dir):
     return c.select("location", paths.basename(F.col("path")).alias("name"), "clip_index", *[F.round(f"f.{n}", 6).alias(n) for n in dsp.ENVIRONMENT])
 
 
-@register("device_and_path_functions", "SELECT s_suppkey, 'device_' || s_name || '_001' AS device, regexp_replace(s_name, '[0-9_]+$', '') AS session, 'loc_' || printf('%04d', s_suppkey::INT) || '.wav' AS clip FROM supplier")
+@register(
+    "device_and_path_functions",
+    "SELECT s_suppkey, 'device_' || s_name || '_001' AS device, regexp_replace(s_name, '[0-9_]+$', '') AS session, 'loc_' || printf('%04d', s_suppkey::INT) || '.wav' AS "
+    "clip FROM supplier",
+)
 def device_and_path_functions(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    return s.select("s_suppkey", vectors.device_id(F.col("s_name")).alias("device"), paths.session_prefix(F.col("s_name")).alias("session"), paths.clip_name(F.lit("loc"), F.col("s_suppkey")).alias("clip"))
+    return s.select(
+        "s_suppkey", vectors.device_id(F.col("s_name")).alias("device"), paths.session_prefix(F.col("s_name")).alias("session"),
+        paths.clip_name(F.lit("loc"), F.col("s_suppkey")).alias("clip"),
+    )
 
 
 @register(
@@ -168,7 +185,10 @@ def csv_scan(spark, sf_dir):
 
 
 #: Records of an earlier run as a JSON artifact: file, scores by location (null: none), status.
-_RECORDS = (("a.wav", {"office": 0.75, "park": 0.25}, "STABLE"), ("b.wav", None, "REJECTED_LOW_QUALITY"), ("c.wav", {"park": 0.5}, "MODERATE_DRIFT"), ("d.wav", {"park": 0.125}, "RELOCATION_OR_FRAUD"))
+_RECORDS = (
+    ("a.wav", {"office": 0.75, "park": 0.25}, "STABLE"), ("b.wav", None, "REJECTED_LOW_QUALITY"), ("c.wav", {"park": 0.5}, "MODERATE_DRIFT"),
+    ("d.wav", {"park": 0.125}, "RELOCATION_OR_FRAUD"),
+)
 
 
 def _artifact(spark, value) -> str:
@@ -186,9 +206,14 @@ def _records(spark):
 ('list', 'c.wav', NULL, NULL), ('split', 'office/x.wav', NULL, NULL), ('split', 'office/y.wav', NULL, NULL), ('baselines', 'office', 1, 3.0), ('baselines', 'office', 0, 1.0)) t(artifact, key, n, value)""")
 def json_artifacts(spark, sf_dir):
     """Each kind of JSON artifact as rows; one that isn't there is an empty table."""
-    records = _records(spark).select(F.lit("records").alias("artifact"), F.col("file").alias("key"), F.col("num_windows").alias("n"), F.array_max(F.map_values("avg_scores")).alias("value"))
+    records = _records(spark).select(
+        F.lit("records").alias("artifact"), F.col("file").alias("key"), F.col("num_windows").alias("n"),
+        F.array_max(F.map_values("avg_scores")).alias("value"),
+    )
     lists = artifacts.json_list(spark, _artifact(spark, ["c.wav"])).select(F.lit("list"), "value", F.lit(None).cast("int"), F.lit(None).cast("double"))
-    splits = artifacts.json_lists(spark, _artifact(spark, {"office": ["x.wav", "y.wav"]})).select(F.lit("split"), F.concat_ws("/", "location", "path"), F.lit(None).cast("int"), F.lit(None).cast("double"))
+    splits = artifacts.json_lists(spark, _artifact(spark, {"office": ["x.wav", "y.wav"]})).select(
+        F.lit("split"), F.concat_ws("/", "location", "path"), F.lit(None).cast("int"), F.lit(None).cast("double"),
+    )
     bases = artifacts.baselines(spark, _artifact(spark, {"office": [[1.0, 2.0], [3.0, 4.0]]})).select(F.lit("baselines"), "location", "sub_id", F.col("centroid")[0])
     missing = artifacts.json_list(spark, f"{new_path(spark, 'none')}/none.json").select(F.lit("missing"), "value", F.lit(None).cast("int"), F.lit(None).cast("double"))
     return records.unionAll(lists).unionAll(splits).unionAll(bases).unionAll(missing)

@@ -235,7 +235,10 @@ def training_clips(spark, sf_dir):
     return t.select("location", F.col("clip_index").cast("int").alias("clip_index"), names.alias("sources"), "merged")
 
 
-@register("stage_times", "SELECT * FROM (VALUES ('features', true), ('statistics', true), ('baselines', true), ('scores', true), ('thresholds', true)) t(stage, measured)")
+@register(
+    "stage_times",
+    "SELECT * FROM (VALUES ('features', true), ('statistics', true), ('baselines', true), ('scores', true), ('thresholds', true)) t(stage, measured)",
+)
 def stage_times(spark, sf_dir):
     """The stages of a training run, each with its wall time."""
     t = train(spark, folder(spark))
@@ -247,7 +250,10 @@ def predict_flow(spark, sf_dir):
     """The synthesised recordings scored against baselines of themselves."""
     root = folder(spark)
     r = predict(spark, audio.scan_locations(spark, root), train(spark, root))
-    return r.select(paths.basename(F.col("file")).alias("name"), "num_windows", "final_match", "status", "location_verdict", "confidence", F.size("acoustic_hashes").alias("hashes"))
+    return r.select(
+        paths.basename(F.col("file")).alias("name"), "num_windows", "final_match", "status", "location_verdict", "confidence",
+        F.size("acoustic_hashes").alias("hashes"),
+    )
 
 
 @register("drop_directory_flow", "SELECT * FROM (VALUES ('first', 'again.wav', 1), ('first', 'tone.wav', 1), ('second', 'tone_late.wav', 1)) t(run, name, moved)")
@@ -292,7 +298,12 @@ def environment_prediction_flow(spark, sf_dir):
     return out.withColumn("name", paths.basename(F.col("file"))).drop("file")
 
 
-@register("three_level_scan", "SELECT split_part(p, '/', 1) AS location, split_part(p, '/', 2) AS recording, split_part(p, '/', 3) AS filename FROM (SELECT 'site/' || unnest(['office/sine_440.wav', 'office/noise.WAV', 'street/silence.wav', 'street/short.wav', 'street/quiet_peak.wav', 'park/corrupt.wav', 'park/part_0.wav', 'park/part_1.wav', 'park/part_2.wav']) AS p)")
+@register(
+    "three_level_scan",
+    "SELECT split_part(p, '/', 1) AS location, split_part(p, '/', 2) AS recording, split_part(p, '/', 3) AS filename FROM (SELECT 'site/' || "
+    "unnest(['office/sine_440.wav', 'office/noise.WAV', 'street/silence.wav', 'street/short.wav', 'street/quiet_peak.wav', 'park/corrupt.wav', 'park/part_0.wav', "
+    "'park/part_1.wav', 'park/part_2.wav']) AS p)",
+)
 def three_level_scan(spark, sf_dir):
     """location/recording/file.wav."""
     return audio.scan_three_levels(spark, folder(spark, "site")).select("location", "recording", "filename")

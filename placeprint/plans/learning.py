@@ -22,7 +22,11 @@ def _split(spark, sf_dir):
     return rows.where("not held_out"), rows.where("held_out")
 
 
-@register("standard_scaler", f"WITH {LONG}, s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS sd FROM long GROUP BY pos) SELECT clip_id, pos, round((x - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS z FROM long JOIN s USING (pos)")
+@register(
+    "standard_scaler",
+    f"WITH {LONG}, s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS sd FROM long GROUP BY pos) SELECT clip_id, pos, round((x - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) "
+    "AS z FROM long JOIN s USING (pos)",
+)
 def standard_scaler(spark, sf_dir):
     return learning.standardised(_clips(spark, sf_dir)).select("clip_id", F.posexplode("vector").alias("pos", "x")).select("clip_id", "pos", F.round("x", 6).alias("z"))
 

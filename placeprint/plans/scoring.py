@@ -12,7 +12,10 @@ from placeprint.sources import tables
 #: DuckDB: clips, their dimensions, baselines and scores.
 FV = "fv AS (SELECT vec_id AS clip_id, 'loc_' || label AS location, embedding::DOUBLE[] AS vector FROM embeddings)"
 LONG = f"{FV}, long AS (SELECT clip_id, location, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM fv)"
-BASE = f"{LONG}, base AS (SELECT location AS base_location, list(m ORDER BY pos) AS centroid FROM (SELECT location, pos, avg(x) AS m FROM long GROUP BY ALL) GROUP BY ALL)"
+BASE = (
+    f"{LONG}, base AS (SELECT location AS base_location, list(m ORDER BY pos) AS centroid FROM (SELECT location, pos, avg(x) AS m "
+    "FROM long GROUP BY ALL) GROUP BY ALL)"
+)
 COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) + 1e-10)"
 SCORES = f"{BASE}, scores AS (SELECT clip_id, location, base_location, {COS.format(a='vector', b='centroid')} AS score FROM fv, base)"
 BEST = f"""{SCORES}, ranked AS (SELECT *, row_number() OVER w AS rn, score - lead(score) OVER w AS margin FROM scores WINDOW w AS (PARTITION BY clip_id ORDER BY score DESC, base_location)),
@@ -36,11 +39,18 @@ def _best(spark, sf_dir):
     return scoring.best(_scores(spark, sf_dir), "clip_id", "location")
 
 
-@register("cosine_nearest_location", f"WITH {BEST} SELECT clip_id, location, best_location, round(best_score, 6) AS best_score, round(margin, 6) AS margin, {DRIFT.format(s='best_score', a=W.stable, b=W.moderate)} AS status, {CONFIDENCE} AS confidence FROM best")
+@register(
+    "cosine_nearest_location",
+    f"WITH {BEST} SELECT clip_id, location, best_location, round(best_score, 6) AS best_score, round(margin, 6) AS margin, "
+    f"{DRIFT.format(s='best_score', a=W.stable, b=W.moderate)} AS status, {CONFIDENCE} AS confidence FROM best",
+)
 def cosine_nearest_location(spark, sf_dir):
     """Every clip's best baseline with class, margin and confidence (flagship)."""
     status = classify.drift_class(F.col("best_score"), W.stable, W.moderate)
-    return _best(spark, sf_dir).select("clip_id", "location", "best_location", F.round("best_score", 6).alias("best_score"), F.round("margin", 6).alias("margin"), status.alias("status"), classify.confidence(F.col("margin")).alias("confidence"))
+    return _best(spark, sf_dir).select(
+        "clip_id", "location", "best_location", F.round("best_score", 6).alias("best_score"), F.round("margin", 6).alias("margin"),
+        status.alias("status"), classify.confidence(F.col("margin")).alias("confidence"),
+    )
 
 
 @register("global_stats", f"WITH {LONG} SELECT pos, round(avg(x), 6) AS mean, round(stddev_pop(x) + 1e-8, 6) AS std, count(*) AS n FROM long GROUP BY pos")
@@ -62,10 +72,17 @@ def mean_vectors(spark, sf_dir):
     return scoring.long_form(scoring.mean_vectors(_clips(spark, sf_dir)), "location").select("location", "pos", F.round("x", 6).alias("mean"))
 
 
-@register("score_matrix_long", f"WITH {SCORES} SELECT clip_id, location AS true_location, base_location AS compared_to, round(score, 6) AS similarity, location = base_location AS is_same_location FROM scores")
+@register(
+    "score_matrix_long",
+    f"WITH {SCORES} SELECT clip_id, location AS true_location, base_location AS compared_to, round(score, 6) AS similarity, location = base_location AS is_same_location "
+    "FROM scores",
+)
 def score_matrix_long(spark, sf_dir):
     s = _scores(spark, sf_dir)
-    return s.select("clip_id", F.col("location").alias("true_location"), F.col("base_location").alias("compared_to"), F.round("score", 6).alias("similarity"), (F.col("location") == F.col("base_location")).alias("is_same_location"))
+    return s.select(
+        "clip_id", F.col("location").alias("true_location"), F.col("base_location").alias("compared_to"), F.round("score", 6).alias("similarity"),
+        (F.col("location") == F.col("base_location")).alias("is_same_location"),
+    )
 
 
 @register(
@@ -96,7 +113,11 @@ def _flagged(spark, sf_dir):
     return scoring.same_and_different(_scores(spark, sf_dir), F.col("location"))
 
 
-@register("same_diff_stats", f"WITH {SAME} SELECT same, round(avg(score), 6) AS mean, round(min(score), 6) AS min, round(max(score), 6) AS max, round(stddev_pop(score), 6) AS std, count(*) AS n FROM flagged GROUP BY same")
+@register(
+    "same_diff_stats",
+    f"WITH {SAME} SELECT same, round(avg(score), 6) AS mean, round(min(score), 6) AS min, round(max(score), 6) AS max, round(stddev_pop(score), 6) AS std, count(*) AS n "
+    "FROM flagged GROUP BY same",
+)
 def same_diff_stats(spark, sf_dir):
     return scoring.population_stats(_flagged(spark, sf_dir)).select("same", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max", "std")], "n")
 
@@ -124,10 +145,18 @@ def candidate_pairs(spark, sf_dir):
     return scoring.candidate_pairs(_flagged(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("stable", "moderate")})
 
 
-@register("classify_wide", f"WITH {BEST} SELECT clip_id, {DRIFT.format(s='best_score', a=W.stable, b=W.moderate)} AS status, {DRIFT.format(s='best_score', a=classify.UNCALIBRATED.stable, b=classify.UNCALIBRATED.moderate)} AS status_uncalibrated FROM best")
+@register(
+    "classify_wide",
+    f"WITH {BEST} SELECT clip_id, {DRIFT.format(s='best_score', a=W.stable, b=W.moderate)} AS status, "
+    f"{DRIFT.format(s='best_score', a=classify.UNCALIBRATED.stable, b=classify.UNCALIBRATED.moderate)} AS status_uncalibrated "
+    "FROM best",
+)
 def classify_wide(spark, sf_dir):
     u = classify.UNCALIBRATED
-    return _best(spark, sf_dir).select("clip_id", classify.drift_class(F.col("best_score"), W.stable, W.moderate).alias("status"), classify.drift_class(F.col("best_score"), u.stable, u.moderate).alias("status_uncalibrated"))
+    return _best(spark, sf_dir).select(
+        "clip_id", classify.drift_class(F.col("best_score"), W.stable, W.moderate).alias("status"),
+        classify.drift_class(F.col("best_score"), u.stable, u.moderate).alias("status_uncalibrated"),
+    )
 
 
 @register("classify_narrow", f"WITH {BEST} SELECT clip_id, {IN_ORDER.format(s='best_score', a=N.stable, b=N.moderate)} AS status FROM best")
@@ -135,7 +164,11 @@ def classify_narrow(spark, sf_dir):
     return _best(spark, sf_dir).select("clip_id", classify.drift_class_in_order(F.col("best_score")).alias("status"))
 
 
-@register("classify_four", f"WITH {BEST} SELECT clip_id, CASE WHEN best_score >= 0.92 THEN 'Stable Environment' WHEN best_score >= 0.80 THEN 'Minor Drift' WHEN best_score >= 0.65 THEN 'Significant Drift' ELSE 'Relocated / Fraud Suspected' END AS status FROM best")
+@register(
+    "classify_four",
+    f"WITH {BEST} SELECT clip_id, CASE WHEN best_score >= 0.92 THEN 'Stable Environment' WHEN best_score >= 0.80 THEN 'Minor Drift' WHEN best_score >= 0.65 THEN "
+    "'Significant Drift' ELSE 'Relocated / Fraud Suspected' END AS status FROM best",
+)
 def classify_four(spark, sf_dir):
     return _best(spark, sf_dir).select("clip_id", classify.drift_class_four(F.col("best_score")).alias("status"))
 
@@ -147,7 +180,8 @@ def confidence_band(spark, sf_dir):
 
 @register(
     "open_set_verdict",
-    f"WITH {BEST}, s AS (SELECT *, {DRIFT.format(s='best_score', a=W.stable, b=W.moderate)} AS status FROM best) SELECT clip_id, CASE WHEN status = 'RELOCATION_OR_FRAUD' THEN 'UNKNOWN_NEW_LOCATION' ELSE best_location END AS verdict, status = 'RELOCATION_OR_FRAUD' AS has_message FROM s",
+    f"WITH {BEST}, s AS (SELECT *, {DRIFT.format(s='best_score', a=W.stable, b=W.moderate)} AS status FROM best) SELECT clip_id, CASE WHEN status = 'RELOCATION_OR_FRAUD' "
+    "THEN 'UNKNOWN_NEW_LOCATION' ELSE best_location END AS verdict, status = 'RELOCATION_OR_FRAUD' AS has_message FROM s",
 )
 def open_set_verdict(spark, sf_dir):
     b = _best(spark, sf_dir).withColumn("status", classify.drift_class(F.col("best_score"), W.stable, W.moderate))
@@ -164,10 +198,17 @@ def quantize_hash(spark, sf_dir):
     """Double arithmetic, as the SQL twin has it; quantise() itself works in single precision by default."""
     clips = _clips(spark, sf_dir)
     q = scoring.normalised(clips, scoring.global_stats(clips)).withColumn("q", vectors.quantise(F.col("vector"), single=False))
-    return q.select("clip_id", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("level_sum"), vectors.location_hash(F.col("q"), vectors.device_id(F.col("location")), F.lit("19723")).alias("location_hash"))
+    return q.select(
+        "clip_id", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("level_sum"),
+        vectors.location_hash(F.col("q"), vectors.device_id(F.col("location")), F.lit("19723")).alias("location_hash"),
+    )
 
 
-@register("replay_dupes", "SELECT user_id, CAST(epoch(ts)::BIGINT // 86400 AS VARCHAR) AS date_bucket, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+@register(
+    "replay_dupes",
+    "SELECT user_id, CAST(epoch(ts)::BIGINT // 86400 AS VARCHAR) AS date_bucket, event_type, count(*) AS n FROM events GROUP BY ALL "
+    "HAVING count(*) > 1",
+)
 def replay_dupes(spark, sf_dir):
     """Same device, day and kind of signal more than once: candidates of a replay."""
     e = tables.table(spark, sf_dir, "events")
@@ -188,7 +229,10 @@ def predict_record(spark, sf_dir):
     s = _scores(spark, sf_dir).select(F.floor(F.col("clip_id") / 10).alias("file"), F.col("clip_id").alias("window"), "base_location", "score")
     files = _clips(spark, sf_dir).select(F.floor(F.col("clip_id") / 10).alias("file")).distinct()
     r = scoring.predict_files(s, files, W)
-    return r.select("file", "num_windows", "final_match", F.round("final_score", 6).alias("final_score"), "status", "location_verdict", F.round("margin", 6).alias("margin"), "confidence", F.element_at("vote_counts", F.col("final_match")).alias("match_votes"), "few_windows")
+    return r.select(
+        "file", "num_windows", "final_match", F.round("final_score", 6).alias("final_score"), "status", "location_verdict",
+        F.round("margin", 6).alias("margin"), "confidence", F.element_at("vote_counts", F.col("final_match")).alias("match_votes"), "few_windows",
+    )
 
 
 @register(
@@ -197,7 +241,9 @@ def predict_record(spark, sf_dir):
 SELECT location, pos, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(avg(power(x - mu, 3)) / power(stddev_pop(x), 3), 6) AS skew, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.9), 6) AS p90 FROM m GROUP BY location, pos""",
 )
 def coef_stats(spark, sf_dir):
-    return diagnostics.coefficient_stats(scoring.long_form(_clips(spark, sf_dir), "location"), "location", "pos").select("location", "pos", *[F.round(c, 6).alias(c) for c in ("mean", "std", "skew", "p10", "p90")])
+    return diagnostics.coefficient_stats(scoring.long_form(_clips(spark, sf_dir), "location"), "location", "pos").select(
+        "location", "pos", *[F.round(c, 6).alias(c) for c in ("mean", "std", "skew", "p10", "p90")],
+    )
 
 
 FISHER = f"""{LONG}, g AS (SELECT location, pos, avg(x) AS m, count(*) AS n, var_pop(x) * count(*) AS w FROM long GROUP BY ALL),
@@ -209,7 +255,11 @@ def fisher_scores(spark, sf_dir):
     return diagnostics.fisher_scores(_clips(spark, sf_dir)).select("pos", F.round("fisher", 6).alias("fisher"), F.round("weight", 6).alias("weight"))
 
 
-@register("top_dims", f"WITH {FISHER}, r AS (SELECT pos, round(fisher, 6) AS fisher FROM f) (SELECT pos, fisher, 'top' AS which FROM r ORDER BY fisher DESC, pos LIMIT 10) UNION ALL (SELECT pos, fisher, 'bottom' FROM r ORDER BY fisher, pos LIMIT 10)")
+@register(
+    "top_dims",
+    f"WITH {FISHER}, r AS (SELECT pos, round(fisher, 6) AS fisher FROM f) (SELECT pos, fisher, 'top' AS which FROM r ORDER BY fisher DESC, pos LIMIT 10) "
+    "UNION ALL (SELECT pos, fisher, 'bottom' FROM r ORDER BY fisher, pos LIMIT 10)",
+)
 def top_dims(spark, sf_dir):
     """The ten most and least telling dimensions."""
     f = diagnostics.fisher_scores(_clips(spark, sf_dir)).select("pos", F.round("fisher", 6).alias("fisher"))
@@ -221,23 +271,39 @@ other AS (SELECT clip_id, base_location AS other_location, score AS other_score
 o AS (SELECT * FROM own JOIN other USING (clip_id))"""
 
 
-@register("own_vs_best_other", f"WITH {OWN} SELECT clip_id, location, round(own_score, 6) AS own_score, other_location, round(other_score, 6) AS other_score, own_score < other_score AS wrong FROM o")
+@register(
+    "own_vs_best_other",
+    f"WITH {OWN} SELECT clip_id, location, round(own_score, 6) AS own_score, other_location, round(other_score, 6) AS other_score, own_score < other_score AS wrong "
+    "FROM o",
+)
 def own_vs_best_other(spark, sf_dir):
-    return diagnostics.own_and_other(_scores(spark, sf_dir)).select("clip_id", "location", F.round("own_score", 6).alias("own_score"), "other_location", F.round("other_score", 6).alias("other_score"), "wrong")
+    return diagnostics.own_and_other(_scores(spark, sf_dir)).select(
+        "clip_id", "location", F.round("own_score", 6).alias("own_score"), "other_location", F.round("other_score", 6).alias("other_score"), "wrong",
+    )
 
 
-@register("location_diagnostics", f"WITH {OWN} SELECT location, count(*) AS clips, round(avg(own_score), 6) AS mean, round(min(own_score), 6) AS min, round(max(own_score), 6) AS max, round(max(other_score), 6) AS worst_confusion FROM o GROUP BY location")
+@register(
+    "location_diagnostics",
+    f"WITH {OWN} SELECT location, count(*) AS clips, round(avg(own_score), 6) AS mean, round(min(own_score), 6) AS min, round(max(own_score), 6) AS max, "
+    "round(max(other_score), 6) AS worst_confusion FROM o GROUP BY location",
+)
 def location_diagnostics(spark, sf_dir):
-    return diagnostics.by_location(diagnostics.own_and_other(_scores(spark, sf_dir))).select("location", "clips", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max", "worst_confusion")])
+    return diagnostics.by_location(diagnostics.own_and_other(_scores(spark, sf_dir))).select(
+        "location", "clips", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max", "worst_confusion")],
+    )
 
 
 @register(
     "diagnose_worst",
-    f"WITH {OWN}, r AS (SELECT clip_id, location, round(own_score, 6) AS own_score, other_location, round(other_score, 6) AS other_score FROM o) (SELECT 'lowest own' AS kind, * FROM r ORDER BY own_score, location, clip_id LIMIT 5) UNION ALL (SELECT 'highest other', * FROM r ORDER BY other_score DESC, location, clip_id LIMIT 5)",
+    f"WITH {OWN}, r AS (SELECT clip_id, location, round(own_score, 6) AS own_score, other_location, round(other_score, 6) AS other_score "
+    "FROM o) (SELECT 'lowest own' AS kind, * FROM r ORDER BY own_score, location, clip_id LIMIT 5) UNION ALL (SELECT 'highest other', * "
+    "FROM r ORDER BY other_score DESC, location, clip_id LIMIT 5)",
 )
 def diagnose_worst(spark, sf_dir):
     """The five clips least like their own location and the five most like another one."""
-    r = diagnostics.own_and_other(_scores(spark, sf_dir)).select("clip_id", "location", F.round("own_score", 6).alias("own_score"), "other_location", F.round("other_score", 6).alias("other_score"))
+    r = diagnostics.own_and_other(_scores(spark, sf_dir)).select(
+        "clip_id", "location", F.round("own_score", 6).alias("own_score"), "other_location", F.round("other_score", 6).alias("other_score"),
+    )
     low = r.orderBy("own_score", "location", "clip_id").limit(5).select(F.lit("lowest own").alias("kind"), "*")
     return low.unionAll(r.orderBy(F.desc("other_score"), "location", "clip_id").limit(5).select(F.lit("highest other").alias("kind"), "*"))
 
@@ -255,7 +321,11 @@ def spectral_centroid(spark, sf_dir):
     return diagnostics.spectrum(_clips(spark, sf_dir)).groupBy("clip_id").agg(F.round(F.sum(F.col("s") * F.col("freq")) / F.sum("s"), 6).alias("centroid"))
 
 
-@register("band_ratio", f"WITH {SPECTRUM} SELECT clip_id, round(coalesce(sum(s * s) FILTER (WHERE freq BETWEEN 300 AND 1000), 0) / sum(s * s), 6) AS ratio FROM spec GROUP BY clip_id")
+@register(
+    "band_ratio",
+    f"WITH {SPECTRUM} SELECT clip_id, round(coalesce(sum(s * s) FILTER (WHERE freq BETWEEN 300 AND 1000), 0) / sum(s * s), 6) AS ratio "
+    "FROM spec GROUP BY clip_id",
+)
 def band_ratio(spark, sf_dir):
     p = F.col("s") * F.col("s")
     return diagnostics.spectrum(_clips(spark, sf_dir)).groupBy("clip_id").agg(F.round(F.sum(F.when(F.col("freq").between(300, 1000), p).otherwise(0.0)) / F.sum(p), 6).alias("ratio"))
@@ -280,7 +350,9 @@ c AS (SELECT label, count(*) FILTER (WHERE actual = label AND predicted = label)
 SELECT label, round(coalesce(tp / nullif(p, 0), 0), 6) AS precision, round(coalesce(tp / nullif(support, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(p + support, 0), 0), 6) AS f1, support FROM c""",
 )
 def class_report(spark, sf_dir):
-    return diagnostics.class_report(diagnostics.confusion(_predicted(spark, sf_dir))).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+    return diagnostics.class_report(diagnostics.confusion(_predicted(spark, sf_dir))).select(
+        "label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support",
+    )
 
 
 @register(
@@ -307,10 +379,19 @@ def logloss_auc(spark, sf_dir):
     return diagnostics.log_loss_and_auc(diagnostics.soft_max(_scores(spark, sf_dir))).select(F.round("log_loss", 6).alias("log_loss"), F.round("auc", 6).alias("auc"))
 
 
-@register("expected_vs_best", f"WITH {BEST} SELECT b.clip_id, b.location AS expected_location, best_location, round(best_score, 6) AS best_score, round(s.score, 6) AS expected_score, best_location = b.location AS correct_match, {DRIFT.format(s='s.score', a=W.stable, b=W.moderate)} AS expected_status FROM best b JOIN scores s ON s.clip_id = b.clip_id AND s.base_location = b.location")
+@register(
+    "expected_vs_best",
+    f"WITH {BEST} SELECT b.clip_id, b.location AS expected_location, best_location, round(best_score, 6) AS best_score, round(s.score, 6) AS expected_score, best_location "
+    f"= b.location AS correct_match, {DRIFT.format(s='s.score', a=W.stable, b=W.moderate)} AS expected_status FROM best b JOIN scores s ON s.clip_id = b.clip_id AND "
+    "s.base_location = b.location",
+)
 def expected_vs_best(spark, sf_dir):
     r = diagnostics.expected_and_best(_scores(spark, sf_dir))
-    return r.select("clip_id", F.col("location").alias("expected_location"), "best_location", F.round("best_score", 6).alias("best_score"), F.round("expected_score", 6).alias("expected_score"), "correct_match", classify.drift_class(F.col("expected_score"), W.stable, W.moderate).alias("expected_status"))
+    return r.select(
+        "clip_id", F.col("location").alias("expected_location"), "best_location", F.round("best_score", 6).alias("best_score"),
+        F.round("expected_score", 6).alias("expected_score"), "correct_match",
+        classify.drift_class(F.col("expected_score"), W.stable, W.moderate).alias("expected_status"),
+    )
 
 
 @register("accuracy_summary", f"WITH {BEST} SELECT count(*) FILTER (WHERE best_location = location) AS correct, count(*) AS total FROM best")

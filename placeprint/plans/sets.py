@@ -25,14 +25,22 @@ def ledger_difference(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey").subtract(_t(spark, sf_dir, "orders").select("o_custkey"))
 
 
-@register("path_exclusion", "SELECT p_partkey FROM part WHERE NOT list_contains(string_split(replace(p_name, ' ', '/'), '/'), 'blue') AND NOT list_contains(string_split(replace(p_name, ' ', '/'), '/'), 'green')")
+@register(
+    "path_exclusion",
+    "SELECT p_partkey FROM part WHERE NOT list_contains(string_split(replace(p_name, ' ', '/'), '/'), 'blue') AND NOT list_contains(string_split(replace(p_name, ' ', "
+    "'/'), '/'), 'green')",
+)
 def path_exclusion(spark, sf_dir):
     """Parts (paths) without the words (folders) blue and green."""
     p = _t(spark, sf_dir, "part").withColumn("path", F.replace("p_name", F.lit(" "), F.lit("/")))
     return sets.without_folders(p, "blue", "green").select("p_partkey")
 
 
-@register("leakage_semi", "SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1))")
+@register(
+    "leakage_semi",
+    "SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text "
+    "HAVING count(*) > 1))",
+)
 def leakage_semi(spark, sf_dir):
     """Labelled (held-out) documents whose content occurs again among the documents (training clips)."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("m"))
@@ -42,7 +50,11 @@ def leakage_semi(spark, sf_dir):
     return sets.leaked(split, provenance).select("doc_id")
 
 
-@register("missing_baseline", "SELECT n_name AS location, count(*) AS files FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL) GROUP BY n_name")
+@register(
+    "missing_baseline",
+    "SELECT n_name AS location, count(*) AS files FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL) "
+    "GROUP BY n_name",
+)
 def missing_baseline(spark, sf_dir):
     """Nations (locations) without a supplier (baseline)."""
     files = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("location"), "n_nationkey")
@@ -62,7 +74,11 @@ def upsert_latest(spark, sf_dir):
     return sinks.upserted(last(o.where(~late)), last(o.where(late)), "key")
 
 
-@register("latest_run", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS run_id FROM orders WHERE o_orderdate::DATE = (SELECT max(o_orderdate::DATE) FROM orders)")
+@register(
+    "latest_run",
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS run_id FROM orders WHERE o_orderdate::DATE = (SELECT max(o_orderdate::DATE) "
+    "FROM orders)",
+)
 def latest_run(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("run_id"))
     return sinks.latest_run(o)
@@ -140,7 +156,12 @@ def connected_components(spark, sf_dir):
     return graph.groups_of(items.select("member", F.concat_ws("-", "p", "s").alias("container")), "member", "container")
 
 
-@register("profile", "SELECT 'l_quantity' AS \"column\", count(l_quantity) AS n, count(*) - count(l_quantity) AS nulls, round(avg(l_quantity), 4) AS mean, round(stddev_samp(l_quantity), 4) AS std, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem UNION ALL SELECT 'l_extendedprice', count(l_extendedprice), count(*) - count(l_extendedprice), round(avg(l_extendedprice), 4), round(stddev_samp(l_extendedprice), 4), min(l_extendedprice), max(l_extendedprice) FROM lineitem UNION ALL SELECT 'l_discount', count(l_discount), count(*) - count(l_discount), round(avg(l_discount), 4), round(stddev_samp(l_discount), 4), min(l_discount), max(l_discount) FROM lineitem")
+@register(
+    "profile",
+    "SELECT 'l_quantity' AS \"column\", count(l_quantity) AS n, count(*) - count(l_quantity) AS nulls, round(avg(l_quantity), 4) AS mean, round(stddev_samp(l_quantity), 4) AS std, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem "
+    "UNION ALL SELECT 'l_extendedprice', count(l_extendedprice), count(*) - count(l_extendedprice), round(avg(l_extendedprice), 4), round(stddev_samp(l_extendedprice), 4), min(l_extendedprice), max(l_extendedprice) FROM lineitem "
+    "UNION ALL SELECT 'l_discount', count(l_discount), count(*) - count(l_discount), round(avg(l_discount), 4), round(stddev_samp(l_discount), 4), min(l_discount), max(l_discount) FROM lineitem",
+)
 def profile(spark, sf_dir):
     p = diagnostics.profile(_t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount"))
     return p.withColumn("mean", F.round("mean", 4)).withColumn("std", F.round("std", 4))

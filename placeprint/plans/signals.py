@@ -10,9 +10,17 @@ from placeprint.plans.registry import register
 from placeprint.sources import tables
 
 SIZE, HALF, FRAME, HOP = 16, 8, 5, 2
-SIG = "sig AS (SELECT user_id AS stream, strftime(ts, '%Y-%m-%d') AS file, event_id, ts, value AS sample, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
+SIG = (
+    "sig AS (SELECT user_id AS stream, strftime(ts, '%Y-%m-%d') AS file, event_id, ts, value AS sample, row_number() OVER (PARTITION BY user_id "
+    "ORDER BY ts, event_id) - 1 AS pos FROM events)"
+)
 CEN = f"{SIG}, cen AS (SELECT * REPLACE (sample - avg(sample) OVER (PARTITION BY stream) AS sample) FROM sig)"
-FILES = f"{SIG}, fs AS (SELECT *, row_number() OVER (PARTITION BY stream, file ORDER BY ts, event_id) - 1 AS file_pos FROM sig), offs AS (SELECT stream, file, length, coalesce(sum(length) OVER (PARTITION BY stream ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, lag(length) OVER (PARTITION BY stream ORDER BY file) AS prev, lead(length) OVER (PARTITION BY stream ORDER BY file) AS nxt FROM (SELECT stream, file, count(*) AS length FROM fs GROUP BY ALL))"
+FILES = (
+    f"{SIG}, fs AS (SELECT *, row_number() OVER (PARTITION BY stream, file ORDER BY ts, event_id) - 1 AS file_pos FROM sig), offs AS (SELECT stream, file, length, "
+    "coalesce(sum(length) OVER (PARTITION BY stream ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, lag(length) OVER (PARTITION BY stream "
+    "ORDER BY file) AS prev, lead(length) OVER (PARTITION BY stream ORDER BY file) AS nxt FROM (SELECT stream, file, count(*) AS length "
+    "FROM fs GROUP BY ALL))"
+)
 
 
 def _signal(spark, sf_dir):
@@ -24,13 +32,20 @@ def _in_files(spark, sf_dir):
     return _signal(spark, sf_dir).withColumn("file_pos", (F.row_number().over(order) - 1).cast("long"))
 
 
-@register("tumbling_windows", f"WITH {SIG} SELECT stream, pos // {SIZE} AS window, count(*) AS n, round(sum(sample), 4) AS total FROM sig GROUP BY ALL HAVING count(*) = {SIZE}")
+@register(
+    "tumbling_windows",
+    f"WITH {SIG} SELECT stream, pos // {SIZE} AS window, count(*) AS n, round(sum(sample), 4) AS total FROM sig GROUP BY ALL HAVING count(*) = {SIZE}",
+)
 def tumbling_windows(spark, sf_dir):
     w = windows.tumbling(_signal(spark, sf_dir), SIZE)
     return w.groupBy("stream", "window").agg(F.count("*").alias("n"), F.round(F.sum("sample"), 4).alias("total"))
 
 
-@register("short_file_windows", f"WITH {SIG}, l AS (SELECT *, count(*) OVER (PARTITION BY stream) AS len FROM sig) SELECT stream, pos // 64 AS window, count(*) AS n FROM l GROUP BY stream, pos // 64, len HAVING count(*) = 64 OR len < 64")
+@register(
+    "short_file_windows",
+    f"WITH {SIG}, l AS (SELECT *, count(*) OVER (PARTITION BY stream) AS len FROM sig) SELECT stream, pos // 64 AS window, count(*) AS n "
+    "FROM l GROUP BY stream, pos // 64, len HAVING count(*) = 64 OR len < 64",
+)
 def short_file_windows(spark, sf_dir):
     """Windows of 64; a stream shorter than that is one window as it is."""
     return windows.tumbling(_signal(spark, sf_dir), 64, short_files="whole").groupBy("stream", "window").agg(F.count("*").alias("n"))
@@ -69,7 +84,11 @@ def dc_peak_normalise(spark, sf_dir):
     return windows.peak_normalised(windows.without_mean(_signal(spark, sf_dir), "stream"), "stream").select("event_id", F.round("sample", 6).alias("y"))
 
 
-@register("ingest_peak_normalise", f"WITH {SIG}, p AS (SELECT *, max(abs(sample)) OVER (PARTITION BY stream, file) AS peak FROM sig) SELECT event_id, round(CASE WHEN peak < 1e-6 THEN sample ELSE sample * (0.95 / peak) END, 6) AS y FROM p")
+@register(
+    "ingest_peak_normalise",
+    f"WITH {SIG}, p AS (SELECT *, max(abs(sample)) OVER (PARTITION BY stream, file) AS peak FROM sig) SELECT event_id, round(CASE WHEN peak < 1e-6 THEN sample ELSE sample "
+    "* (0.95 / peak) END, 6) AS y FROM p",
+)
 def ingest_peak_normalise(spark, sf_dir):
     return windows.ingest_normalised(_signal(spark, sf_dir), "stream", "file").select("event_id", F.round("sample", 6).alias("y"))
 
@@ -133,7 +152,10 @@ def frame_features(spark, sf_dir):
     return v.select("stream", *[F.round(c, 6).alias(c) for c in v.columns[1:]])
 
 
-ENV = f"{SIG}, lab AS (SELECT event_id, stream, CASE event_type WHEN 'view' THEN 'quiet' WHEN 'purchase' THEN 'noisy' ELSE 'moderate' END AS label, CASE event_type WHEN 'view' THEN value / 10 WHEN 'purchase' THEN value + 200 ELSE value END AS level FROM events JOIN sig USING (event_id))"
+ENV = (
+    f"{SIG}, lab AS (SELECT event_id, stream, CASE event_type WHEN 'view' THEN 'quiet' WHEN 'purchase' THEN 'noisy' ELSE 'moderate' END AS label, CASE event_type WHEN "
+    "'view' THEN value / 10 WHEN 'purchase' THEN value + 200 ELSE value END AS level FROM events JOIN sig USING (event_id))"
+)
 
 
 def _levels_by_label(spark, sf_dir):
@@ -143,13 +165,20 @@ def _levels_by_label(spark, sf_dir):
     return tables.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("stream"), "ts", label.alias("label"), level.alias("level"))
 
 
-@register("env_thresholds", f"WITH {ENV} SELECT round(quantile_cont(level, 0.9) FILTER (WHERE label = 'quiet'), 6) AS quiet_threshold, round(quantile_cont(level, 0.1) FILTER (WHERE label = 'noisy'), 6) AS noisy_threshold FROM lab")
+@register(
+    "env_thresholds",
+    f"WITH {ENV} SELECT round(quantile_cont(level, 0.9) FILTER (WHERE label = 'quiet'), 6) AS quiet_threshold, round(quantile_cont(level, 0.1) FILTER (WHERE label = "
+    "'noisy'), 6) AS noisy_threshold FROM lab",
+)
 def env_thresholds(spark, sf_dir):
     return scoring.environment_thresholds(_levels_by_label(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("quiet_threshold", "noisy_threshold")])
 
 
 RULE = "CASE WHEN level <= q THEN 'quiet' WHEN level >= n THEN 'noisy' ELSE 'moderate' END"
-RULED = f"{ENV}, t AS (SELECT quantile_cont(level, 0.9) FILTER (WHERE label = 'quiet') AS q, quantile_cont(level, 0.1) FILTER (WHERE label = 'noisy') AS n FROM lab), ruled AS (SELECT event_id, stream, {RULE} AS cls FROM lab, t)"
+RULED = (
+    f"{ENV}, t AS (SELECT quantile_cont(level, 0.9) FILTER (WHERE label = 'quiet') AS q, quantile_cont(level, 0.1) FILTER (WHERE label = 'noisy') AS n "
+    f"FROM lab), ruled AS (SELECT event_id, stream, {RULE} AS cls FROM lab, t)"
+)
 
 
 def _ruled(spark, sf_dir):

@@ -29,7 +29,10 @@ def stream_daily(spark, sf_dir):
     return spark.read.parquet(table).withColumn("total", F.round("total", 4))
 
 
-@register("stream_windows", f"WITH {SIG} SELECT stream, pos // {SIZE} AS window, count(*) AS n, round(sum(sample), 4) AS total FROM sig GROUP BY ALL HAVING count(*) = {SIZE}")
+@register(
+    "stream_windows",
+    f"WITH {SIG} SELECT stream, pos // {SIZE} AS window, count(*) AS n, round(sum(sample), 4) AS total FROM sig GROUP BY ALL HAVING count(*) = {SIZE}",
+)
 def stream_windows(spark, sf_dir):
     """Full windows of each stream with the leftover carried over."""
     table, checkpoint = ingest.paths_for(spark, "windows")

@@ -42,7 +42,9 @@ def scan_three_levels(spark: SparkSession, root: str) -> DataFrame:
     """root/location/recording/file.wav, as three columns and the content."""
     files = scan_files(spark, f"{root}/*/*", recursive=False)
     p = F.col("path")
-    return files.where(paths.extension(p) == ".wav").select(paths.parent(p, 2).alias("location"), paths.parent(p).alias("recording"), paths.basename(p).alias("filename"), p, "content")
+    return files.where(paths.extension(p) == ".wav").select(
+        paths.parent(p, 2).alias("location"), paths.parent(p).alias("recording"), paths.basename(p).alias("filename"), p, "content",
+    )
 
 
 def locations(files: DataFrame) -> DataFrame:

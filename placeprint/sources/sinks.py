@@ -122,12 +122,17 @@ def archived_names(files: DataFrame, taken: DataFrame, path: str = "path") -> Da
     p = F.col(path)
     own = files.withColumn("__stem", paths.stem(p)).withColumn("__ext", F.regexp_extract(paths.basename(p), r"(?<=.)(\.[^.]*)$", 1))
     there = taken.select(F.regexp_replace("name", r"(?<=.)\.[^.]*$", "").alias("s"), F.regexp_extract("name", r"(?<=.)(\.[^.]*)$", 1).alias("__ext"))
-    there = there.select(F.regexp_replace("s", r"_[0-9]+$", "").alias("__stem"), "__ext", F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("s", r"_([0-9]+)$", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("int").alias("n"))
+    there = there.select(
+        F.regexp_replace("s", r"_[0-9]+$", "").alias("__stem"), "__ext",
+        F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("s", r"_([0-9]+)$", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("int").alias("n"),
+    )
     there = there.unionByName(taken.select(F.regexp_replace("name", r"(?<=.)\.[^.]*$", "").alias("__stem"), F.regexp_extract("name", r"(?<=.)(\.[^.]*)$", 1).alias("__ext"), F.lit(0).alias("n")))
     highest = there.groupBy("__stem", "__ext").agg((F.max("n") + 1).alias("__free"))
     out = own.join(highest, ["__stem", "__ext"], "left")
     place = F.row_number().over(Window.partitionBy("__stem", "__ext").orderBy(path)) - 1 + F.coalesce("__free", F.lit(0))
-    return out.withColumn("archived", F.concat("__stem", F.when(place > 0, F.concat(F.lit("_"), place.cast("string"))).otherwise(""), "__ext")).drop("__stem", "__ext", "__free")
+    return out.withColumn("archived", F.concat("__stem", F.when(place > 0, F.concat(F.lit("_"), place.cast("string"))).otherwise(""), "__ext")).drop(
+        "__stem", "__ext", "__free",
+    )
 
 
 class Versions:
