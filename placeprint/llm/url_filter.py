@@ -41,11 +41,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Settings:
     """order: longest context. rows_per_class: distinct labelled URLs of each verdict that are drawn for the models, in
-    expectation (a bounded sample by a hash of the URL); four in five of them are fitted on. All labelled URLs that are
-    not fitted on calibrate the threshold."""
+    expectation (a bounded sample by a hash of the URL); four in five of them are fitted on, but for those longer than
+    max_chars. All labelled URLs that are not fitted on calibrate the threshold."""
 
     order: int = 5
     rows_per_class: int = 20_000
+    max_chars: int = 4096
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -213,7 +214,8 @@ def _draw(settings: Settings, labelled: DataFrame) -> Column | None:
         return None
     share = F.create_map(*[x for v, n in seen.items() for x in (F.lit(v), F.lit(min(1.0, settings.rows_per_class / n)))])
     draw = F.xxhash64(F.col("url"), F.lit("url filter"))
-    return (F.pmod(draw, F.lit(1_000_000)) < share[F.col("verdict")] * 1_000_000) & (F.pmod(F.shiftright(draw, 32), F.lit(5)) != 0)
+    drawn = (F.pmod(draw, F.lit(1_000_000)) < share[F.col("verdict")] * 1_000_000) & (F.pmod(F.shiftright(draw, 32), F.lit(5)) != 0)
+    return drawn & (F.length("url") <= settings.max_chars)
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Ratio | None:

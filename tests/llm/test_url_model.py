@@ -71,9 +71,9 @@ def check(spark, pages, got, settings=url_filter.Settings()):
     draw = F.xxhash64("url", F.lit("url filter"))
     fold = {r[0]: r[1] for r in spark.createDataFrame([(u,) for u in set(url.values())], "url string").select("url", F.pmod(F.shiftright(draw, 32), F.lit(5))).collect()}
     labelled = [(r["page_id"], r["verdict"]) for r in got if r["rule"] and r["page_id"] not in none]
-    models = [Brute([url[i] for i, v in labelled if v == says and fold[url[i]]], settings.order) for says in ("allow", "block")]
+    models = [Brute([url[i] for i, v in labelled if v == says and fold[url[i]] and len(url[i]) <= settings.max_chars], settings.order) for says in ("allow", "block")]
     score = {u: brute_score(*models, u) for u in set(url.values())}
-    rest = [((math.floor(score[url[i]] / url_filter.SCORE_BIN) + 0.5) * url_filter.SCORE_BIN, v) for i, v in labelled if not fold[url[i]]]
+    rest = [((math.floor(score[url[i]] / url_filter.SCORE_BIN) + 0.5) * url_filter.SCORE_BIN, v) for i, v in labelled if not fold[url[i]] or len(url[i]) > settings.max_chars]
     kept, gone = [s for s, v in rest if v == "allow"], [s for s, v in rest if v == "block"]
     marks = sorted({s for s, _ in rest})
     cuts = [marks[0], *((a + b) / 2 for a, b in zip(marks, marks[1:]))] if kept and gone else [0.0]
@@ -97,6 +97,7 @@ def test_query_equals_brute_force(spark, sf_dir):
 
 def test_repeated_urls_count_as_often_as_they_occur(spark):
     urls = ["http://a.com/Index"] * 40 + [f"http://b{i % 9}.com/page/{i}" for i in range(30)] + [f"http://c{i % 5}.net/es/{i}" for i in range(30)] + ["http://d.net/fr/"] * 7
+    urls += [f"http://e.com/{'long' * 2000}{i}" for i in range(4)]
     urls += [None, "", "http://x.org/es/4", "http://x.org/page/4", "http://x.org/page/4"]
     pages = [(i, u) for i, u in enumerate(urls)]
     df = spark.createDataFrame(pages, "page_id long, url string").repartition(3)
