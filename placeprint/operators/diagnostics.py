@@ -146,8 +146,9 @@ def expected_and_best(scores: DataFrame, *keys: str) -> DataFrame:
 
 
 def duplicates(files: DataFrame, content: Column, path: str = "path") -> DataFrame:
-    """md5, n, paths (sorted) of contents that occur more than once."""
-    return files.select(F.md5(content).alias("md5"), F.col(path).alias("path")).groupBy("md5").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths")).where("n > 1")
+    """md5, path: every file whose content occurs more than once."""
+    keyed = files.select(F.md5(content).alias("md5"), F.col(path).alias("path"))
+    return keyed.join(keyed.groupBy("md5").agg(F.count("*").alias("n")).where("n > 1").select("md5"), "md5", "left_semi")
 
 
 def duplicate_groups(files: DataFrame, content: Column, path: str = "path") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeprint.operators import scoring
+from placeprint.operators import scoring, trees
 from placeprint.sources.shared import written
 
 #: Locations that the driver holds centres of.
@@ -259,7 +259,8 @@ def leaderboard(train_rows: DataFrame, test_rows: DataFrame, kinds: tuple[str, .
     rows = []
     for kind in kinds:
         own, other = (fourier_features(r) if kind == "kernel" else r for r in (train_rows, test_rows))
-        out = written(predicted(train(own, kind), other).select("label", "prediction"), "predictions")
+        out = trees.predicted(trees.fit(own), other) if kind == "extra_trees" else predicted(train(own, kind), other)
+        out = written(out.select("label", "prediction"), "predictions")
         rows.append((kind, *[float(MulticlassClassificationEvaluator(metricName=m).evaluate(out)) for m in ("accuracy", "f1")]))
     return train_rows.sparkSession.createDataFrame(rows, "model string, accuracy double, weighted_f1 double").orderBy(F.desc("accuracy"), "model")
 
@@ -278,10 +279,10 @@ def principal(clips: DataFrame, k: int = 2) -> DataFrame:
     return PCA(k=k, inputCol="features", outputCol="__pc").fit(rows).transform(rows).withColumn("pc", vector_to_array("__pc")).drop("__pc", "features")
 
 
-def cross_validated(rows: DataFrame, folds: int = 5, depths: tuple[int, ...] = (4, 8), trees: tuple[int, ...] = (20,), seed: int = 42) -> DataFrame:
+def cross_validated(rows: DataFrame, folds: int = 5, depths: tuple[int, ...] = (4, 8), sizes: tuple[int, ...] = (20,), seed: int = 42) -> DataFrame:
     """max_depth, num_trees, accuracy of a grid of forests."""
     forest = RandomForestClassifier(seed=seed)
-    grid = ParamGridBuilder().addGrid(forest.maxDepth, list(depths)).addGrid(forest.numTrees, list(trees)).build()
+    grid = ParamGridBuilder().addGrid(forest.maxDepth, list(depths)).addGrid(forest.numTrees, list(sizes)).build()
     cv = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, seed=seed, parallelism=4).fit(rows)
     out = [(int(p[forest.maxDepth]), int(p[forest.numTrees]), float(m)) for p, m in zip(grid, cv.avgMetrics)]
     return rows.sparkSession.createDataFrame(out, "max_depth int, num_trees int, accuracy double")

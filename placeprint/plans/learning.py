@@ -118,6 +118,6 @@ def leaderboard(spark, sf_dir):
 
 @register("leaderboard_machines")
 def leaderboard_machines(spark, sf_dir):
-    """The linear and the kernel machine, and boosted trees, on clips of the first two locations."""
+    """The linear and the kernel machine, boosted trees and extremely randomised trees, on clips of the first two locations."""
     train, test = _split(spark, sf_dir)
-    return learning.leaderboard(train.where("label < 2"), test.where("label < 2"), ("svm", "kernel", "boosted"))
+    return learning.leaderboard(train.where("label < 2"), test.where("label < 2"), ("svm", "kernel", "boosted", "extra_trees"))

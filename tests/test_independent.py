@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeprint.functions import dsp
-from placeprint.operators import features, graph, joins, learning, scoring, windows
+from placeprint.operators import features, graph, joins, learning, scoring, trees, windows
 from placeprint.plans import flows
 from placeprint.sources import sinks
 
@@ -238,3 +238,32 @@ def test_stage_times_are_kept_when_a_stage_fails():
     with pytest.raises(ZeroDivisionError):
         flows.in_stage(seconds, "broken", lambda: 1 / 0)
     assert set(seconds) == {"fine", "broken"}
+
+
+def test_extremely_randomised_trees(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-1, 1, (600, 6))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int) + 2 * (x[:, 2] > 0.5)  # no single cut tells the first two classes apart
+    rows = [(i, v.tolist(), float(c)) for i, (v, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "i int, vector array<double>, label double")
+    train, test = df.where("i < 400"), df.where("i >= 400")
+    model = trees.fit(train.repartition(3), trees=40)
+    again = trees.fit(train.orderBy(F.desc("i")).repartition(5), trees=40)
+    assert np.array_equal(model.feature, again.feature) and np.array_equal(model.counts, again.counts)
+    got = trees.predicted(model, test).collect()
+    assert np.mean([r["prediction"] == r["label"] for r in got]) > 0.7  # the most frequent class has 0.37 of the rows
+    assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 and r["confidence"] == max(r["probabilities"]) for r in got)
+    inner = np.argwhere(model.feature >= 0)
+    assert all((model.counts[t, n] == model.counts[t, 2 * n] + model.counts[t, 2 * n + 1]).all() for t, n in inner)
+    for t, n in inner[:20]:  # counts are those of the rows that come by
+        own = [c for v, c in zip(x[:400], y[:400]) if n in came_by(model, t, v)]
+        assert np.bincount(own, minlength=4).tolist() == model.counts[t, n].tolist()
+    with pytest.raises(ValueError, match="no rows"):
+        trees.fit(df.limit(0))
+
+
+def came_by(model, tree, v):
+    out = [1]
+    while model.feature[tree, out[-1]] >= 0:
+        out.append(2 * out[-1] + int(v[model.feature[tree, out[-1]]] > model.cut[tree, out[-1]]))
+    return out
