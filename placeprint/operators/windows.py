@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placeprint.sources.shared import written
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -211,14 +213,13 @@ def joined_windows(files: DataFrame, size: int, half: int = 0, key: str = "locat
     """key, window, samples, source_files, merged: the files of a key one after another by path, cut into windows of size
     samples across their borders; the leftover at the end is dropped. half: samples faded on either side of each seam.
 
-    Only lengths are ordered by key. Each file is cut where it lies into the pieces of the windows that it reaches into;
+    Files are written to the shared folder first, as decoding them is dear and both their lengths and their samples are
+    needed. Only lengths are ordered by key. Each file is cut where it lies into the pieces of the windows that it reaches into;
     pieces meet by window, so a task never holds more of a key than windows. Files without samples take no part;
     source_files are the paths in order; files that share key and path follow one another in any order.
     """
-    own = files.where(F.size(samples) > 0).select(
-        F.col(key).alias("__key"), F.col(path).alias("__path"), F.size(samples).alias("__n"), F.col(samples).alias("__x"),
-        F.monotonically_increasing_id().alias("__id"),
-    )
+    own = files.where(F.size(samples) > 0).select(F.col(key).alias("__key"), F.col(path).alias("__path"), F.size(samples).alias("__n"), F.col(samples).alias("__x"))
+    own = written(own.withColumn("__id", F.monotonically_increasing_id()), "joined-files")
     order = Window.partitionBy("__key").orderBy("__path", "__id")
     lengths = own.select("__key", "__path", "__n", "__id")
     total = F.sum("__n").over(Window.partitionBy("__key"))

@@ -51,7 +51,7 @@ def ingest(stream: DataFrame, table: str, key: str, checkpoint: str) -> DataFram
 
     A batch owns the partition (stream, batch) and replaces only that when it runs again; all other partitions are the
     ledger. Streams with checkpoints of their own may follow one another into one table, not write it at the same time.
-    Of rows that share a key within a batch any one stays; null keys count as one key each time they occur.
+    Of rows that share a key within a batch any one stays; a null key is new to every batch.
     """
     spark, known = stream.sparkSession, {}
 
@@ -60,7 +60,7 @@ def ingest(stream: DataFrame, table: str, key: str, checkpoint: str) -> DataFram
         fresh = batch.dropDuplicates([key])
         if artifacts.exists(spark, table):
             others = ~((F.col("stream") == own) & (F.col("batch") == number))
-            fresh = fresh.join(spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, stream string, batch long").parquet(table).where(others).select(key), key, "left_anti")
+            fresh = fresh.join(spark.read.schema(f"`{key}` {dict(batch.dtypes)[key]}, stream string, batch long").parquet(table).where(others).select(key), key, "left_anti")
         fresh.withColumns({"stream": F.lit(own), "batch": F.lit(number)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(table)
 
     run_available(stream, each, checkpoint)
