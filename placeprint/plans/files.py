@@ -225,3 +225,16 @@ def usable_records(spark, sf_dir):
     latest, plotted = (artifacts.json_list(spark, _artifact(spark, x), name="file") for x in (["a.wav", "b.wav", "c.wav"], ["a.wav"]))
     return sets.usable(_records(spark), latest, plotted).select("file", "status")
 
+
+
+_WAVS = ", ".join(f"('{place}', '{place}_{i:04d}.wav', 160044)" for place, n in (("office", 3), ("park", 1), ("street", 2)) for i in range(n))
+
+
+@register("wav_files", f"SELECT * FROM (VALUES {_WAVS}) t(location, name, length)")
+def wav_files(spark, sf_dir):
+    """The clips of training as WAV files of five seconds, listed from the folder that they were written to."""
+    clips = features.joined_clips_of(audio.decoded(audio.scan_locations(spark, folder(spark))).where("error is null"))
+    root = new_path(spark, "wav")
+    sinks.write_wav(clips, root.removeprefix("file://").removeprefix("file:")).count()
+    files = audio.scan_locations(spark, root)
+    return files.select("location", paths.basename(F.col("path")).alias("name"), F.col("length").cast("int").alias("length"))
