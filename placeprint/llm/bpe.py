@@ -240,7 +240,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", name:
     ids are little-endian unsigned 32-bit integers. The driver reads the rank file (under 1 MB for 50,000 tokens, so a
     broadcast of bounded size); workers build the pair table once. Map-only: no shuffle, every row by itself. Null and
     empty texts have no tokens; repeated rows and ties need no rule; an empty table gives an empty one; a column that is
-    called ``name`` is replaced.
+    called ``name`` is replaced. Bounds the session's Arrow batches.
     """
     spark, key = df.sparkSession, (path, pattern)
     bounded_batches(spark)

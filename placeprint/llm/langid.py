@@ -206,7 +206,7 @@ class Model:
 
 def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn from train(doc_id, text, lang), lang not null. Counts of languages cover all rows; the words and n-grams
-    come from the bounded sample of Settings. Without rows the model knows no language."""
+    come from the bounded sample of Settings. Without rows the model knows no language. Bounds the session's Arrow batches."""
     bounded_batches(train.sparkSession)
     seen = train.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(seen) > MAX_LANGUAGES:
@@ -286,5 +286,6 @@ def identify(df: DataFrame, model: Model, text: str = "text", name: str = "langu
 
     Null texts and those without a letter are und with score 0. Map-only; ties go to the first language in
     alphabetical order; repeated rows repeat their result; other columns pass through, one called ``name`` is replaced.
+    Bounds the session's Arrow batches.
     """
     return df.withColumn(name, predictor(df.sparkSession, model)(F.col(text)))

@@ -332,7 +332,7 @@ def near_dedup(df: DataFrame, width: int = 3, tau: int = 2, seed: int = 42, doc_
 
     Null and empty texts have the fingerprint 0 and link like any other. Null ids are ignored in the minimum; a component
     of null ids only has a null component_id. Repeated rows give repeated results; an empty table an empty one; other
-    columns of df aren't looked at.
+    columns of df aren't looked at. Bounds the session's Arrow batches.
     """
     own = written(fingerprints(df, width, seed, doc_id, text), "fingerprints")
     first = written(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
