@@ -10,9 +10,33 @@ from placeprint.operators import scoring
 
 def coefficient_stats(long: DataFrame, *keys: str) -> DataFrame:
     """keys, mean, std (population), skew (biased; null without spread), p10, p90 of x."""
-    return long.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.skewness("x").alias("skew"), F.percentile("x", F.array(F.lit(0.1), F.lit(0.9))).alias("p")).select(
-        *keys, "mean", "std", "skew", F.col("p")[0].alias("p10"), F.col("p")[1].alias("p90"),
-    )
+    out = long.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.skewness("x").alias("skew"))
+    return out.join(grouped_percentiles(long, list(keys), "x", {"p10": 0.1, "p90": 0.9}), list(keys))
+
+
+def grouped_percentiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """keys and exact percentiles of a column, named by shares, with linear interpolation between neighbours.
+
+    Equal numbers are counted first; how many lie below each is a running sum by ranges, so no group's numbers meet in
+    one task or buffer. Nulls in the column are no numbers; a group without any has no row; keys may not be null.
+    """
+    steps = df.where(F.col(column).isNotNull()).groupBy(F.struct(*keys).alias("__key"), F.col(column).alias("__x")).agg(F.count("*").alias("__c"))
+    total = steps.groupBy("__key").agg(F.sum("__c").alias("__n"))
+    steps = running_sum(steps, "__key", "__x", "__c", "__below").join(total, "__key")
+    picked = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("__n") - 1)
+        for end, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            here = (F.col("__below") <= rank) & (rank < F.col("__below") + F.col("__c"))
+            picked.append(F.max(F.when(here, F.col("__x"))).alias(f"__{name}_{end}"))
+    out = steps.groupBy("__key").agg(F.first("__n").alias("__n"), *picked)
+
+    def value(name: str, share: float) -> Column:
+        place = F.lit(share) * (F.col("__n") - 1)
+        lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+        return F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi).alias(name)
+
+    return out.select("__key.*", *[value(name, share) for name, share in shares.items()])
 
 
 def fisher_scores(clips: DataFrame, label: str = "location") -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeprint.functions import dsp
-from placeprint.operators import features, graph, joins, learning, scoring, trees, windows
+from placeprint.operators import diagnostics, features, graph, joins, learning, scoring, trees, windows
 from placeprint.plans import flows
 from placeprint.sources import sinks
 
@@ -267,3 +267,15 @@ def came_by(model, tree, v):
     while model.feature[tree, out[-1]] >= 0:
         out.append(2 * out[-1] + int(v[model.feature[tree, out[-1]]] > model.cut[tree, out[-1]]))
     return out
+
+
+def test_grouped_percentiles_are_exact(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", float(v)) for v in rng.normal(size=700)] + [("a", 0.5)] * 90 + [("b", 3.0)] + [("c", float(v)) for v in (1, 2, 2, 9)] + [("c", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    shares = {"low": 0.0, "p10": 0.1, "mid": 0.5, "p77": 0.77, "top": 1.0}
+    got = {r["k"]: r for r in diagnostics.grouped_percentiles(df, ["k"], "x", shares).collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    for k in got:
+        own = [x for g, x in rows if g == k and x is not None]
+        assert np.allclose([got[k][n] for n in shares], np.percentile(own, [100 * s for s in shares.values()]), rtol=1e-12)
