@@ -27,6 +27,8 @@ from placeprint.llm.simhash import forest
 #: on average, and in more than this with a probability of some millionths. Scaled with the angle for other thresholds.
 WORDS = 4
 SKETCH_SLACK = 4.7
+#: One vector in so many is posted beforehand to see how full the points are.
+KEY_SHARE = 16
 #: Rows of a point up to which its sketches are compared by shifting the sorted rows against each other.
 FEW = 32
 
@@ -163,25 +165,24 @@ def _keys(code: np.ndarray, salt: np.ndarray, table: int) -> np.ndarray:
 _SKETCHES = "key long, node long, " + ", ".join(f"s{i} long" for i in range(WORDS))
 
 
-def _sketch_posts(blocks: int, settings: Settings):
+def _sketch_posts(blocks: int, settings: Settings, lean: bool):
     """From rows (node, label, vector): _SKETCHES, a vector's sketch at its home point (node even) and at its probes
-    (node odd) in every table. Equal vectors of a batch are one."""
+    (node odd) in every table; lean: the keys only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _SKETCHES.split(", ")]
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
                 b = whole.slice(i, 2048)
-                node, first = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
-                b = b.take(pa.array(first))
-                salt = _salts(b.column(1))
+                node, salt = b.column(0).to_numpy(zero_copy_only=False), _salts(b.column(1))
                 for at, unit in _by_size(b.column(2)):
                     tables = _tables(unit.shape[1], blocks, settings)
-                    words = [pa.array(w.astype("<u8").view(np.int64)) for w in tables.sketch(unit).T]
+                    words = [] if lean else [pa.array(w.astype("<u8").view(np.int64)) for w in tables.sketch(unit).T]
                     for t in range(settings.tables):
                         codes = tables.codes(unit, t)
                         for k in range(codes.shape[1]):
-                            yield pa.RecordBatch.from_arrays([pa.array(_keys(codes[:, k], salt[at], t)), pa.array(node[at] + (k > 0)), *words], names)
+                            key = pa.array(_keys(codes[:, k], salt[at], t))
+                            yield pa.RecordBatch.from_arrays([key] if lean else [key, pa.array(node[at] + (k > 0)), *words], names[:1] if lean else names)
 
     return run
 
@@ -440,11 +441,11 @@ def planned(rows: int, settings: Settings) -> tuple[int, Settings]:
     return blocks, replace(settings, tables=settings.tables * 3 ** (blocks - 1))
 
 
-def _dealt(posts: DataFrame, keys: DataFrame, settings: Settings, by: str) -> DataFrame:
+def _dealt(posts: DataFrame, keys: DataFrame, settings: Settings, by: str, share: int = 1) -> DataFrame:
     """posts with a, b, chunk: the rows of a point with more than bucket_rows rows are dealt in chunks by the column
     ``by``, and come once for each pair of chunks that is compared in a task of its own; all others have zeros. keys has
-    the key of every post."""
-    hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > settings.bucket_rows)
+    the key of one post in ``share``, from which sizes are estimated: they only say in how many pieces a point is compared."""
+    hot = keys.groupBy("key").agg((F.count("*") * share).alias("n")).where(F.col("n") > settings.bucket_rows)
     hot = written(hot.select("key", F.ceil(F.col("n") / settings.bucket_rows).cast("int").alias("chunks")), "hot-points")
     if not hot.limit(1).count():
         return posts.withColumns({k: F.lit(0) for k in ("a", "b", "chunk")})
@@ -493,9 +494,13 @@ def near_vectors(df: DataFrame, settings: Settings = Settings(), vec_id: str = "
     largest = alike.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
     blocks, settings = planned(largest[0], settings)
     parts = max(least_parts, largest[1] * settings.tables * (1 + settings.probes) // 1_000_000)
-    posts = known.select(node.alias("node"), "label", "v").mapInArrow(_sketch_posts(blocks, settings), _SKETCHES)
-    posts = written(posts.distinct(), "sketches")
-    dealt = _dealt(posts, posts.select("key"), settings, "node").repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    # The rows that are first of their kind, told by a join of ids where there are others at all.
+    some = known if largest[1] == known.count() else known.join(alike.select("row"), "row", "left_semi")
+    some = some.select(node.alias("node"), "label", "v")
+    share = min(KEY_SHARE, max(1, settings.bucket_rows // 64))
+    keys = some.where(F.pmod(F.shiftright("node", 1), F.lit(share)) == 0).mapInArrow(_sketch_posts(blocks, settings, True), "key long")
+    posts = some.mapInArrow(_sketch_posts(blocks, settings, False), _SKETCHES)
+    dealt = _dealt(posts, keys, settings, "node", share).repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
     groups = components(dealt.mapInArrow(_near_sketches(settings.sketch_bits()), "a long, b long"))
     groups = written(groups.select(F.shiftleft("node", 1).alias("node"), F.col("root").alias("group")), "groups")
     sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
