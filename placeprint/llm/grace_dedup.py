@@ -226,7 +226,7 @@ def _parts(df: DataFrame, buckets: int, total: int) -> int:
 def _hot(hashes: DataFrame, h: str) -> DataFrame | None:
     """Hashes that very many rows bring, fewer than HOT_SHARE of them; None if there are none."""
     total = hashes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    hot = written(hashes.where((F.col("rows") > HOT_ROWS) & (F.col("rows") * HOT_SHARE > total)).select(h), "hot-hashes")
+    hot = written(hashes.where((F.col("rows") > HOT_ROWS) & (F.col("rows") * HOT_SHARE > total)).select(h).repartition(1), "hot-hashes")  # fewer than HOT_SHARE
     return hot if hot.limit(1).count() else None
 
 
