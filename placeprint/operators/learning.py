@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -19,8 +21,8 @@ from placeprint.sources.shared import written
 
 #: Locations that the driver holds centres of.
 MAX_LOCATIONS = 10_000
-#: Steps after which centres that still move are an error; Lloyd's algorithm settles long before.
-MAX_STEPS = 300
+#: Steps without a fall of a run's inertia after which its centres only follow rounded ties; every other step lowers it.
+STALLED_STEPS = 10
 
 
 def standardised(clips: DataFrame, train: DataFrame | None = None) -> DataFrame:
@@ -35,13 +37,14 @@ def baselines_of(n: int) -> int:
     return 1 if n < 6 else min(3, n // 6)
 
 
-def kmeans_by_location(clips: DataFrame, runs: int = 10, steps: int = MAX_STEPS, seed: int = 42) -> DataFrame:
+def kmeans_by_location(clips: DataFrame, runs: int = 10, steps: int | None = None, seed: int = 42) -> DataFrame:
     """location, sub_id, centroid, size, inertia: the best of several runs of Lloyd's algorithm in every location at once.
 
     Runs start from the clips of least hash in each location, whatever its size; equal hashes go by clip_id. Each step is
     one pass over all clips, in which Arrow batches put out sums for each location, run and centre; a location of any
-    size costs one partial sum a batch. The driver holds the centres only (bounded by MAX_LOCATIONS). Centres that have
-    not settled after so many steps raise.
+    size costs one partial sum a batch. The driver holds the centres only (bounded by MAX_LOCATIONS). Steps go on until
+    the centres of every run have settled, which takes more of them the more clips there are; runs that have settled are
+    left out of further passes. If steps is given, centres that have not settled after so many raise.
     """
     spark = clips.sparkSession
     counted = clips.groupBy("location").agg(F.count("*").alias("n")).limit(MAX_LOCATIONS + 1).collect()
@@ -55,14 +58,25 @@ def kmeans_by_location(clips: DataFrame, runs: int = 10, steps: int = MAX_STEPS,
         k, own = baselines_of(r["n"]), starts[r["location"]]
         centres[r["location"]] = np.stack([[own[(i * k + j) % len(own)] for j in range(k)] for i in range(runs)])
     sums = _lloyd_sums(clips, centres)
-    for _ in range(steps):
-        new = {loc: np.where(n[..., None] > 0, s / np.maximum(n, 1)[..., None], centres[loc]) for loc, (s, n, _) in sums.items()}
-        if all(np.allclose(new[loc], centres[loc], rtol=0, atol=1e-9) for loc in new):
+    lowest = {loc: np.full(runs, np.inf) for loc in centres}
+    stalled = {loc: np.zeros(runs, dtype=int) for loc in centres}
+    for step in itertools.count(1):
+        moving = {}
+        for loc, (s, n, i) in sums.items():
+            new, inertia = np.where(n[..., None] > 0, s / np.maximum(n, 1)[..., None], centres[loc]), i.sum(axis=1)
+            stalled[loc] = np.where(inertia < lowest[loc], 0, stalled[loc] + 1)
+            lowest[loc] = np.minimum(lowest[loc], inertia)
+            still = ~np.isclose(new, centres[loc], rtol=0, atol=1e-9).all(axis=(1, 2)) & (stalled[loc] < STALLED_STEPS)
+            if still.any():
+                moving[loc] = still
+                centres[loc] = np.where(still[:, None, None], new, centres[loc])
+        if not moving:
             break
-        centres |= new
-        sums = _lloyd_sums(clips, centres)
-    else:
-        raise RuntimeError(f"centres haven't settled after {steps} steps")
+        if step == steps:
+            raise RuntimeError(f"centres haven't settled after {steps} steps")
+        for loc, parts in _lloyd_sums(clips, {loc: centres[loc][still] for loc, still in moving.items()}).items():
+            for whole, part in zip(sums[loc], parts):
+                whole[moving[loc]] = part
     rows = []
     for loc, (_, n, inertia) in sorted(sums.items()):
         run = int(inertia.sum(axis=1).argmin())
@@ -91,33 +105,32 @@ def _starts(clips: DataFrame, counted: list, most: int, seed: int) -> dict:
 
 
 def _lloyd_sums(clips: DataFrame, centres: dict) -> dict:
-    """For each location: sums of vectors, counts and inertia by (run, centre)."""
+    """For each location of the centres: sums of vectors, counts and inertia by (run, centre)."""
     shared = clips.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches):
         total: dict = {}
         for b in batches:
             for loc, rows in b.groupby("location", sort=False):
-                x, c = np.stack(rows["vector"].map(np.asarray)), shared.value[loc]
-                d = (x**2).sum(1)[:, None, None] - 2 * np.einsum("nd,rkd->nrk", x, c) + (c**2).sum(-1)
+                if loc not in shared.value:
+                    continue
+                x, c = np.stack(rows["vector"].to_list()), shared.value[loc]
+                d = (x**2).sum(1)[:, None, None] - 2 * (x @ c.reshape(-1, c.shape[2]).T).reshape(len(x), *c.shape[:2]) + (c**2).sum(-1)
                 own = d.argmin(axis=2)
                 one = np.eye(c.shape[1])[own]
-                s, n, i = np.einsum("nrk,nd->rkd", one, x), one.sum(axis=0), (one * np.maximum(d, 0)).sum(axis=0)
+                s, n, i = (one.reshape(len(x), -1).T @ x).reshape(c.shape), one.sum(axis=0), (one * np.maximum(d, 0)).sum(axis=0)
                 if loc in total:
                     s, n, i = s + total[loc][0], n + total[loc][1], i + total[loc][2]
                 total[loc] = s, n, i
-        out = []
-        for loc, (s, n, i) in total.items():
-            for r in range(s.shape[0]):
-                for k in range(s.shape[1]):
-                    out.append((loc, r, k, [*s[r, k], n[r, k], i[r, k]]))
-        yield pd.DataFrame(out, columns=["location", "run", "k", "v"])
-
-    parts = clips.select("location", "vector").mapInPandas(run, "location string, run int, k int, v array<double>")
-    rows = parts.select("location", "run", "k", F.posexplode("v").alias("pos", "x")).groupBy("location", "run", "k", "pos").agg(F.sum("x").alias("x")).collect()
+        flat = [np.concatenate([s, n[..., None], i[..., None]], axis=2).ravel() for s, n, i in total.values()]
+        yield pd.DataFrame({"location": list(total), "v": flat}, dtype=object)
+
+    parts = clips.select("location", "vector").mapInPandas(run, "location string, v array<double>")
+    rows = parts.select("location", F.posexplode("v").alias("pos", "x")).groupBy("location", "pos").agg(F.sum("x").alias("x")).toArrow()
     flat = {loc: np.zeros((*c.shape[:2], c.shape[2] + 2)) for loc, c in centres.items()}
-    for loc, r, k, pos, x in rows:
-        flat[loc][r, k, pos] = x
+    for loc, own in rows.to_pandas().groupby("location", sort=False):
+        flat[loc].flat[own["pos"].to_numpy()] = own["x"].to_numpy()
+    shared.destroy()
     return {loc: (f[..., :-2], f[..., -2], f[..., -1]) for loc, f in flat.items()}
 
 
