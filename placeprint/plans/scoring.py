@@ -212,7 +212,7 @@ def quantize_hash(spark, sf_dir):
 def replay_dupes(spark, sf_dir):
     """Same device, day and kind of signal more than once: candidates of a replay."""
     e = tables.table(spark, sf_dir, "events")
-    return e.groupBy("user_id", vectors.date_bucket(F.col("ts")).alias("date_bucket"), "event_type").agg(F.count("*").alias("n")).where("n > 1")
+    return e.groupBy("user_id", vectors.date_bucket_of_second(F.col("ts")).alias("date_bucket"), "event_type").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @register(
