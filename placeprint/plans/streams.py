@@ -53,9 +53,7 @@ def stream_ema(spark, sf_dir):
 
 @register("stream_replay_dedupe", "SELECT DISTINCT user_id, event_type, (epoch(ts)::BIGINT // 86400)::VARCHAR AS date_bucket FROM events")
 def stream_replay_dedupe(spark, sf_dir):
-    table, checkpoint = ingest.paths_for(spark, "replay")
-    ingest.run_available(ingest.first_of_day(_events(spark, sf_dir)), lambda b, i: b.write.mode("overwrite").parquet(f"{table}/batch={i}"), checkpoint)
-    return spark.read.parquet(table).select("user_id", "event_type", "date_bucket")
+    return ingest.first_of_day(_events(spark, sf_dir), *ingest.paths_for(spark, "replay"))
 
 
 @register(

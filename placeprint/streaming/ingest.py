@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from placeprint.functions import vectors
 from placeprint.sources import artifacts, sinks
 from placeprint.sources.shared import new_path
 
@@ -46,21 +47,26 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
 
 
-def ingest(stream: DataFrame, table: str, key: str, checkpoint: str) -> DataFrame:
+def ingest(stream: DataFrame, table: str, key: str | tuple[str, ...], checkpoint: str) -> DataFrame:
     """Append rows to a Parquet table, each key once over all batches, restarts and streams: the table is its own ledger.
 
     A batch owns the partition (stream, batch) and replaces only that when it runs again; all other partitions are the
     ledger. Streams with checkpoints of their own may follow one another into one table, not write it at the same time.
-    Of rows that share a key within a batch any one stays; a null key is new to every batch.
+    Of rows that share a key within a batch any one stays; a null key is new to every batch. In a key of several columns
+    a null is a value like any other.
     """
     spark, known = stream.sparkSession, {}
+    keys = [key] if isinstance(key, str) else list(key)
 
     def each(batch: DataFrame, number: int) -> None:
         own = known["id"] if known else known.setdefault("id", stream_id(spark, checkpoint))
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates(keys)
         if artifacts.exists(spark, table):
-            others = ~((F.col("stream") == own) & (F.col("batch") == number))
-            fresh = fresh.join(spark.read.schema(f"`{key}` {dict(batch.dtypes)[key]}, stream string, batch long").parquet(table).where(others).select(key), key, "left_anti")
+            others, types = ~((F.col("stream") == own) & (F.col("batch") == number)), dict(batch.dtypes)
+            schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "stream string, batch long"])
+            there = spark.read.schema(schema).parquet(table).where(others).select(*[F.col(f"`{k}`").alias(f"there_{i}") for i, k in enumerate(keys)])
+            same = [fresh[f"`{k}`"] == F.col(f"there_{i}") if len(keys) == 1 else fresh[f"`{k}`"].eqNullSafe(F.col(f"there_{i}")) for i, k in enumerate(keys)]
+            fresh = fresh.join(there, same, "left_anti")
         fresh.withColumns({"stream": F.lit(own), "batch": F.lit(number)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(table)
 
     run_available(stream, each, checkpoint)
@@ -120,10 +126,18 @@ def daily(events: DataFrame) -> DataFrame:
     return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
-def first_of_day(events: DataFrame) -> DataFrame:
-    """user_id, event_type, date_bucket, each once: repeats within the day's watermark are dropped as replays."""
-    keyed = events.withColumn("date_bucket", F.unix_date(F.col("ts").cast("date")).cast("string")).withWatermark("ts", "1 day")
-    return keyed.dropDuplicatesWithinWatermark(["user_id", "event_type", "date_bucket"]).select("user_id", "event_type", "date_bucket")
+#: What a signal may come once a day by.
+DAILY_KEY = ("user_id", "event_type", "date_bucket")
+
+
+def first_of_day(events: DataFrame, table: str, checkpoint: str) -> DataFrame:
+    """user_id, event_type, date_bucket, each once: repeats are dropped as replays, however late they or the first ones come.
+
+    The table is the ledger. No watermark is used, as it would drop the first signal of a day that comes late (or any from
+    before 1970), and no state is held.
+    """
+    keyed = events.select("user_id", "event_type", vectors.date_bucket_of_second(F.col("ts")).alias("date_bucket"))
+    return ingest(keyed, table, DAILY_KEY, checkpoint).select(*DAILY_KEY)
 
 
 def sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from placeprint.plans import catalogue
+from placeprint.streaming import ingest
 
 ODD = [
     ("2024-01-01 23:59:59.5", 1, "click"), ("2024-01-01 23:59:59.500001", 1, "click"), ("2024-01-02 00:00:01", 1, "click"), ("2024-01-01 23:59:59.499999", 1, "click"), ("2024-01-01 23:59:58.5", 1, "click"),
@@ -36,3 +37,25 @@ def same_as_sql(spark, odd, name):
 
 def test_replay_dupes_of_odd_times(spark, odd):
     same_as_sql(spark, odd, "replay_dupes")
+
+
+def test_stream_replay_dedupe_of_odd_times(spark, odd):
+    same_as_sql(spark, odd, "stream_replay_dedupe")
+
+
+def test_replays_are_known_over_batches_in_any_order(spark, tmp_path):
+    """Files of one batch each, the latest day first; a second run goes on with what has come since."""
+    def put(*rows):
+        spark.createDataFrame(rows, "ts string, user_id long, event_type string").selectExpr("ts::timestamp", "user_id", "event_type").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def days():
+        stream = ingest.file_stream(spark, str(tmp_path), "in", files_a_trigger=1)
+        return sorted((tuple(r) for r in ingest.first_of_day(stream, f"{tmp_path}/table", f"{tmp_path}/checkpoint").collect()), key=repr)
+
+    put(("2024-03-01 12:00:00", 1, "a"), ("2024-03-01 13:00:00", 1, "a"), (None, 1, None))
+    assert days() == [(1, "a", "19783"), (1, None, None)]
+    put(("2024-01-01 12:00:00", 1, "a"), ("2024-03-01 23:00:00", 1, "a"), (None, 1, None))
+    put(("2024-01-01 13:00:00", 1, "a"), ("2024-01-02 12:00:00", None, "a"))
+    assert days() == [(1, "a", "19723"), (1, "a", "19783"), (1, None, None), (None, "a", "19724")]
+    put(("2024-01-02 13:00:00", None, "a"))
+    assert len(days()) == 4
